@@ -1,0 +1 @@
+"""Empty on purpose: ledger matching has no stream, watermark or stateful stream operator."""
