@@ -43,8 +43,9 @@ class Rule:
     keys: tuple[str, ...] = ("ref_no",)
 
     def passes(self) -> list[str]:
-        """Kinds of pass the rule runs, in order. A many-to-many rule then tries one-to-many."""
-        return [self.group_flag, *(["PARTIAL"] if self.partial else []), *(["OTM"] if self.group_flag == "MTM" else [])]
+        """Kinds of pass the rule runs, in order. A many-to-many rule then tries one-to-many; a rule
+        without a group flag matches partial values only."""
+        return [*([self.group_flag] if self.group_flag else []), *(["PARTIAL"] if self.partial else []), *(["OTM"] if self.group_flag == "MTM" else [])]
 
 
 @dataclass(frozen=True)

@@ -149,6 +149,15 @@ select s.tran_gid, b.recon_code, 'BNK', 'REF' || cast(s.l_orderkey as varchar(12
 from (select l_orderkey, min(tran_gid) + 1 as tran_gid, cast(sum(tran_value) as decimal(15,2)) as tran_value
       from {fx_line} where not (l_orderkey % 10 = 0 and l_returnflag = 'A')
       group by l_orderkey, l_returnflag) s join {fx_base} b on s.l_orderkey = b.k""",
+    # Trans that own the rows of the feed above as breakups.
+    "fx_parent": """
+select parent_gid as tran_gid, recon_code, dataset_code, ref_no, tran_date, tran_acc_mode, tran_mult,
+  cast(sum(tran_value) as decimal(15,2)) as tran_value, cast(sum(tran_value) as decimal(15,2)) as excp_value,
+  cast(0 as decimal(15,2)) as roundoff_value
+from {fx_mtm_feed} group by parent_gid, recon_code, dataset_code, ref_no, tran_date, tran_acc_mode, tran_mult""",
+    "fx_messy": """
+select tran_gid, case tran_gid % 3 when 0 then '  ' || lower(ref_no) || ' ' when 1 then '000' || ref_no else ref_no end as ref_no
+from {fx_feed}""",
 }
 
 DRIVER_TABLES = ("region", "nation", "customer", "orders", "lineitem")
@@ -160,18 +169,19 @@ def names_in(sql: str) -> list[str]:
     return list(dict.fromkeys(_NAME.findall(sql)))
 
 
-def with_prefix(sql: str) -> str:
-    """Oracle text: ``sql`` with the views it needs in front of it."""
+def with_prefix(sql: str, views: dict[str, str] | None = None) -> str:
+    """Oracle text: ``sql`` with the views it needs in front of it; ``views`` adds some."""
+    known = {**SQL, **(views or {})}
     order: list[str] = []
 
     def visit(text: str) -> None:
         for name in names_in(text):
-            if name in SQL and name not in order:
-                visit(SQL[name])
+            if name in known and name not in order:
+                visit(known[name])
                 order.append(name)
 
     visit(sql)
-    parts = [f"{name} as ({_NAME.sub(r'\1', SQL[name])})" for name in order]
+    parts = [f"{name} as ({_NAME.sub(r'\1', known[name])})" for name in order]
     body = _NAME.sub(r"\1", sql)
     return f"with {', '.join(parts)} {body}" if parts else body
 
