@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgermatch.sources.local import local_table
 from ledgermatch.sources.rounds import RunFolder
 
 # A group with more rows than this is cut into chunks.
@@ -45,7 +46,7 @@ def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) ->
         .limit(HOT_GROUPS)
     )
     found = rows.collect()
-    return df.sparkSession.createDataFrame(found, rows.schema) if found else None
+    return local_table(df.sparkSession, found, rows.schema) if found else None
 
 
 class WindowGroups:

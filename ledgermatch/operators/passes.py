@@ -17,8 +17,9 @@ from ledgermatch.operators.groups import ChunkedGroups, WindowGroups
 
 Groups = WindowGroups | ChunkedGroups
 
-HIT_COLUMNS = ("_take", "_residue", "_seed")
-ZERO = F.lit(0).cast(MONEY)
+
+def _zero() -> Column:
+    return F.lit(0).cast(MONEY)
 
 
 def _is(side: str) -> Column:
@@ -62,7 +63,7 @@ def one_to_one(df: DataFrame, groups: Groups, tolerance: bool) -> DataFrame:
     seed = _seed(F.lit("="), "_cents", "_before")
     scratch = ["_cents", "_ns", "_nt", "_before"]
     if not tolerance:
-        return _finish(df, take, ZERO, seed, scratch)
+        return _finish(df, take, _zero(), seed, scratch)
 
     df = df.withColumns(
         {
@@ -94,7 +95,7 @@ def one_to_one(df: DataFrame, groups: Groups, tolerance: bool) -> DataFrame:
     near = F.coalesce(F.col("_mate").isNotNull() & (F.col("_rank") < F.least("_n", "_mate.n")), F.lit(False))
     gap = here - F.col("_mate.c")
     take = F.when(F.col("_exact"), F.col("open_value")).when(near, _money(F.least(here, F.col("_mate.c"))))
-    residue = F.when(near & ~F.col("_exact") & (gap > 0), _money(gap)).otherwise(ZERO)
+    residue = F.when(near & ~F.col("_exact") & (gap > 0), _money(gap)).otherwise(_zero())
     near_seed = _seed(F.lit("~"), F.least(here, F.col("_mate.c")), F.col("_rank"))
     seed = F.when(F.col("_exact"), seed).otherwise(near_seed)
     scratch += ["_exact", "_left", "_n", "_rank", "_lo", "_lo2", "_hi", "_hi2", "_down", "_up", "_down2", "_up2", "_mate"]
@@ -105,8 +106,8 @@ def _side_totals(df: DataFrame, groups: Groups, largest: bool) -> DataFrame:
     sums = {
         "_ns": _one_if(_is("S")),
         "_nt": _one_if(_is("T")),
-        "_ss": F.when(_is("S"), F.col("open_value")).otherwise(ZERO),
-        "_st": F.when(_is("T"), F.col("open_value")).otherwise(ZERO),
+        "_ss": F.when(_is("S"), F.col("open_value")).otherwise(_zero()),
+        "_st": F.when(_is("T"), F.col("open_value")).otherwise(_zero()),
     }
     row = F.struct(F.col("open_value").alias("v"), (-F.col("tran_gid")).alias("g"))
     maxima = {"_ls": F.when(_is("S"), row), "_lt": F.when(_is("T"), row)} if largest else {}
@@ -134,7 +135,7 @@ def whole_group(df: DataFrame, groups: Groups, shape: str) -> DataFrame:
         & F.col("open_value").isNotNull()
     )
     carries = (F.col("side") == larger) & (F.col("tran_gid") == -largest.getField("g"))
-    residue = F.when(fits & carries, F.abs(gap)).otherwise(ZERO)
+    residue = F.when(fits & carries, F.abs(gap)).otherwise(_zero())
     take = F.when(fits, F.col("open_value") - residue)
     return _finish(df, take, residue, F.lit(shape), ["_ns", "_nt", "_ss", "_st", "_ls", "_lt"])
 
@@ -142,9 +143,9 @@ def whole_group(df: DataFrame, groups: Groups, shape: str) -> DataFrame:
 def partial(df: DataFrame, groups: Groups) -> DataFrame:
     """Knock off the smaller side's total of a key on both sides, oldest rows first."""
     df = _side_totals(df, groups, largest=False)
-    df = groups.running(df, [*groups.keys, "side"], F.coalesce("open_value", ZERO), "_before")
+    df = groups.running(df, [*groups.keys, "side"], F.coalesce("open_value", _zero()), "_before")
     both = F.least("_ss", "_st")
-    rest = F.greatest(both - F.col("_before"), ZERO)
+    rest = F.greatest(both - F.col("_before"), _zero())
     takes_part = F.col("side").isNotNull() & F.col("open_value").isNotNull()
     take = F.when(takes_part, F.least(rest, F.col("open_value")))
-    return _finish(df, take, ZERO, F.lit("P"), ["_ns", "_nt", "_ss", "_st", "_before"])
+    return _finish(df, take, _zero(), F.lit("P"), ["_ns", "_nt", "_ss", "_st", "_before"])

@@ -54,11 +54,15 @@ def still_open() -> Column:
 
 
 def ko_lines(state: DataFrame, source: str = "allocs") -> DataFrame:
-    """One row per KO line."""
+    """One row per KO line.
+
+    Empty arrays are dropped after the explode: a plain explode would add a filter on the array,
+    which the optimizer moves down and writes out in terms of all passes.
+    """
     extra = [c for c in ("parent_gid",) if c in state.columns]
-    return state.select(
-        "recon_code", "dataset_code", "tran_gid", *extra, "tran_date", "tran_acc_mode", F.explode(source).alias("a")
-    ).select("recon_code", "dataset_code", "tran_gid", *extra, "tran_date", "tran_acc_mode", "a.*")
+    kept = ["recon_code", "dataset_code", "tran_gid", *extra, "tran_date", "tran_acc_mode"]
+    lines = state.select(*kept, F.explode_outer(source).alias("a")).select(*kept, "a.*")
+    return lines.filter(F.col("ko_gid").isNotNull())
 
 
 def ko_headers(lines: DataFrame) -> DataFrame:

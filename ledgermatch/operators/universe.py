@@ -31,8 +31,13 @@ UNIVERSE_COLUMNS = (
     "roundoff_value",
 )
 
-by_tran_date = F.col("recontype_code").isin(*DATED_BY_TRAN)
-by_load_date = F.col("recontype_code").isin(*DATED_BY_LOAD)
+
+def by_tran_date() -> Column:
+    return F.col("recontype_code").isin(*DATED_BY_TRAN)
+
+
+def by_load_date() -> Column:
+    return F.col("recontype_code").isin(*DATED_BY_LOAD)
 
 
 def loads_in(ledger: Ledger, period: Period | None) -> DataFrame:
@@ -54,7 +59,7 @@ def in_window(trans: DataFrame, scope: DataFrame, period: Period) -> DataFrame:
     """Trans of recons dated by tran date, within the period."""
     return (
         _scoped(trans.filter(in_period(period)), scope)
-        .filter(by_tran_date)
+        .filter(by_tran_date())
         .select(*UNIVERSE_COLUMNS)
     )
 
@@ -66,7 +71,7 @@ def by_load(
     unit = 0 if matched else 1
     return (
         _scoped(trans, scope)
-        .filter(by_load_date)
+        .filter(by_load_date())
         .join(loads, "scheduler_gid")
         .select(
             "tran_gid",
@@ -96,8 +101,8 @@ def _placed(trans: DataFrame, scope: DataFrame, loads: DataFrame, period: Period
         .join(loads, "scheduler_gid", "left")
         .withColumns(
             {
-                "_dated": by_tran_date & in_period(period),
-                "_loaded": by_load_date & F.col("load_date").isNotNull(),
+                "_dated": by_tran_date() & in_period(period),
+                "_loaded": by_load_date() & F.col("load_date").isNotNull(),
                 "_opening": (F.col("tran_date") < period.start_col) & net_exception(),
             }
         )
@@ -148,12 +153,12 @@ def value_universe(ledger: Ledger, scope: DataFrame) -> DataFrame:
     one = F.lit(1).cast(MONEY)
 
     def pick(loaded: Column, column: str) -> Column:
-        return F.when(by_load_date, loaded).otherwise(F.col(column)).alias(column)
+        return F.when(by_load_date(), loaded).otherwise(F.col(column)).alias(column)
 
     return (
         _scoped(ledger.open, scope)
         .join(loads, "scheduler_gid", "left")
-        .filter(by_tran_date | (by_load_date & F.col("load_date").isNotNull()))
+        .filter(by_tran_date() | (by_load_date() & F.col("load_date").isNotNull()))
         .select(
             "tran_gid",
             "recon_code",

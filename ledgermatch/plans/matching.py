@@ -13,6 +13,7 @@ from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgermatch.functions.money import MONEY
 from ledgermatch.functions.predicates import in_period, live, net_open
@@ -22,8 +23,19 @@ from ledgermatch.operators.scope import active_rules, eligible_recons
 from ledgermatch.operators.state import apply_hits, still_open, with_state
 from ledgermatch.params import Period
 from ledgermatch.sources.ledger import Ledger
+from ledgermatch.sources.local import local_table
 from ledgermatch.sources.rounds import RunFolder
 
+RULE_TABLE = (
+    StructType()
+    .add("recon_code", "string")
+    .add("dataset_code", "string")
+    .add("rule_code", "string")
+    .add("tolerance", MONEY)
+    .add("side", "string")
+)
+FEED_TABLE = StructType().add("recon_code", "string").add("dataset_code", "string").add("_feed", "boolean")
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -119,9 +131,7 @@ def _rule_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
         else:
             rows.append((r.recon_code, r.source, r.rule_code, tolerance, "S"))
             rows.append((r.recon_code, r.comparison, r.rule_code, tolerance, "T"))
-    return spark.createDataFrame(
-        rows, "recon_code string, dataset_code string, rule_code string, tolerance decimal(15,2), side string"
-    )
+    return local_table(spark, rows, RULE_TABLE)
 
 
 def _with_rule(df: DataFrame, step: Step) -> DataFrame:
@@ -165,7 +175,7 @@ def _run_steps(
     columns = state.columns
     keys = ["recon_code", *steps[0][1].keys]
     feeds = {(r.recon_code, d) for _, s in steps for r in s.rules for d in (r.source, r.comparison)}
-    table = spark.createDataFrame(sorted(feeds), "recon_code string, dataset_code string").withColumn("_feed", F.lit(True))
+    table = local_table(spark, sorted((*feed, True) for feed in feeds), FEED_TABLE)
     takes_part = still_open() & F.col("_feed").isNotNull()
     for key in keys:
         takes_part = takes_part & F.col(key).isNotNull()
@@ -198,7 +208,7 @@ def _roll_up(trans: DataFrame, breakups: DataFrame, round_no: int, numbers: Sequ
     """Take what breakup rules matched off the trans that own the breakups."""
     line = F.col("a")
     sums = (
-        breakups.select("parent_gid", F.explode("allocs").alias("a"))
+        breakups.select("parent_gid", F.explode_outer("allocs").alias("a"))
         .filter((line.getField("round") == round_no) & line.getField("step").isin(*numbers))
         .groupBy(F.col("parent_gid").alias("tran_gid"))
         .agg(
