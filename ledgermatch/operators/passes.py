@@ -54,8 +54,9 @@ def one_to_one(df: DataFrame, groups: Groups, tolerance: bool) -> DataFrame:
     keys = groups.keys
     cents = (F.col("open_value") * 100).cast("long")
     df = df.withColumn("_cents", cents)
-    df = groups.totals(df, [*keys, "_cents"], {"_ns": _one_if(_is("S")), "_nt": _one_if(_is("T"))}, {})
+    # Ranks first: their sort order also serves the totals.
     df = groups.running(df, [*keys, "_cents", "side"], F.lit(1), "_before")
+    df = groups.totals(df, [*keys, "_cents"], {"_ns": _one_if(_is("S")), "_nt": _one_if(_is("T"))}, {})
     pairs = F.least("_ns", "_nt")
     takes_part = F.col("side").isNotNull() & F.col("open_value").isNotNull()
     exact = takes_part & (F.col("_before") < pairs)
@@ -142,8 +143,8 @@ def whole_group(df: DataFrame, groups: Groups, shape: str) -> DataFrame:
 
 def partial(df: DataFrame, groups: Groups) -> DataFrame:
     """Knock off the smaller side's total of a key on both sides, oldest rows first."""
-    df = _side_totals(df, groups, largest=False)
     df = groups.running(df, [*groups.keys, "side"], F.coalesce("open_value", _zero()), "_before")
+    df = _side_totals(df, groups, largest=False)
     both = F.least("_ss", "_st")
     rest = F.greatest(both - F.col("_before"), _zero())
     takes_part = F.col("side").isNotNull() & F.col("open_value").isNotNull()

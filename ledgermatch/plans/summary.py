@@ -354,6 +354,64 @@ def summ_non_value_based(figures: DataFrame) -> DataFrame:
     )
 
 
+def _pivot_rows(figures: DataFrame) -> DataFrame:
+    """Rows of the pivot layout. The figures of a recon, as many as it has rules and datasets, are
+    put side by side in an array, so they are computed once for all sections."""
+    values = ("dr_count", "dr_value", "cr_count", "cr_value")
+    columns = ("kind", "dataset_code", "rule_order", "source_dataset_code", "comparison_dataset_code", *values)
+    meta = ("recon_code", "recontype_code")
+    entries = figures.withColumn("label", _label()).groupBy(*meta, "recon_name").agg(
+        F.collect_list(F.struct(*columns, "label")).alias("all")
+    )
+
+    def same_rule(e: Column, t: Column) -> Column:
+        return (
+            (t.getField("kind") == RULE)
+            & (t.getField("dataset_code") != t.getField("source_dataset_code"))
+            & (t.getField("rule_order") == e.getField("rule_order"))
+            & (t.getField("label") == e.getField("label"))
+        )
+
+    def row(section: int, e: Column, keep: tuple[str, ...] = (), targets: bool = False, label: Column | None = None) -> Column:
+        fields = [F.lit(section).alias("section"), (label if label is not None else F.lit(None).cast("string")).alias("row_label")]
+        for c in columns[1:]:
+            fields.append((e.getField(c) if c in keep else F.lit(None).cast(types[c])).alias(c))
+        found = F.filter("all", lambda t: same_rule(e, t)) if targets else F.filter("all", lambda t: F.lit(False))
+        return F.struct(*fields, found.alias("targets"))
+
+    types = {c: figures.schema[c].dataType for c in columns}
+    first = F.element_at("all", 1)
+
+    def is_source(e: Column) -> Column:
+        return (e.getField("kind") == RULE) & (e.getField("dataset_code") == e.getField("source_dataset_code"))
+
+    sections = F.concat(
+        F.array(row(HEADER, first, label=F.col("recon_name"))),
+        F.array_distinct(
+            F.transform(
+                F.filter("all", lambda e: e.getField("dataset_code") != e.getField("comparison_dataset_code")),
+                lambda e: row(DATASET, e, ("dataset_code",)),
+            )
+        ),
+        F.transform(
+            F.filter("all", is_source),
+            lambda e: row(
+                RULE, e, ("dataset_code", "rule_order", "comparison_dataset_code", *values), True, e.getField("label")
+            ),
+        ),
+        F.transform(
+            F.filter("all", lambda e: e.getField("kind") == MANUAL),
+            lambda e: row(MANUAL, e, ("dataset_code", *values), label=F.lit(MANUAL_LABEL)),
+        ),
+    )
+    rows = entries.select(*meta, F.explode(sections).alias("s")).select(*meta, "s.*")
+    return rows.withColumn("t", F.explode_outer("targets")).select(
+        *[c for c in rows.columns if c not in ("targets", "source_dataset_code")],
+        F.col("t.dataset_code").alias("target_dataset_code"),
+        *[F.col(f"t.{c}").alias(f"target_{c}") for c in values],
+    )
+
+
 def summ_pivot(figures: DataFrame, ledger: Ledger, unit: str | None = None) -> DataFrame:
     """Source figures of a rule beside its target figures; headers and manual rows around them.
     ``figures`` are those separated by sides.
@@ -361,48 +419,11 @@ def summ_pivot(figures: DataFrame, ledger: Ledger, unit: str | None = None) -> D
     Sides meet on (recon, rule order, rule name); a rule with several target datasets has a row
     for each; a rule with target lines only does not appear.
     """
-    source = F.col("dataset_code") == F.col("source_dataset_code")
-    rules = figures.filter(F.col("kind") == RULE).withColumn("_label", _label())
-    figure_columns = ("dr_count", "dr_value", "cr_count", "cr_value")
-    left = rules.filter(source)
-    right = rules.filter(F.col("dataset_code") != F.col("source_dataset_code")).select(
-        "recon_code",
-        "rule_order",
-        "_label",
-        F.col("dataset_code").alias("target_dataset_code"),
-        *[F.col(c).alias(f"target_{c}") for c in figure_columns],
-    )
-    meta = ("recon_code", "recontype_code")
-    paired = left.join(right, ["recon_code", "rule_order", "_label"], "left").select(
-        *meta,
-        F.lit(RULE).alias("section"),
-        "dataset_code",
-        "rule_order",
-        F.col("_label").alias("row_label"),
-        "comparison_dataset_code",
-        *figure_columns,
-        "target_dataset_code",
-        *[f"target_{c}" for c in figure_columns],
-    )
-    manual = _fold(figures.filter(F.col("kind") == MANUAL), [*meta, "dataset_code"]).select(
-        *meta,
-        F.lit(MANUAL).alias("section"),
-        "dataset_code",
-        F.lit(MANUAL_LABEL).alias("row_label"),
-        *figure_columns,
-    )
-    headers = figures.select(
-        *meta, F.lit(HEADER).alias("section"), F.col("recon_name").alias("row_label")
-    ).distinct()
-    datasets = (
-        figures.filter(F.col("dataset_code") != F.col("comparison_dataset_code"))
-        .select(*meta, F.lit(DATASET).alias("section"), "dataset_code")
-        .distinct()
+    rows = _pivot_rows(figures)
+    names = ledger.dataset.select("dataset_code", "dataset_name")
+    rows = rows.join(names, "dataset_code", "left").withColumn(
+        "row_label", F.coalesce("row_label", F.when(F.col("section") == DATASET, F.col("dataset_name")))
     )
-    datasets = _with_dataset_name(datasets, ledger, "dataset_code", "row_label")
-    rows = paired
-    for part in (manual, headers, datasets):
-        rows = rows.unionByName(part, allowMissingColumns=True)
     rows = _with_dataset_name(rows, ledger, "comparison_dataset_code", "target_label")
     rows = _numbered(rows, "dataset_code", "section", "rule_order", "target_dataset_code")
     zero = F.lit(0).cast(TOTAL)

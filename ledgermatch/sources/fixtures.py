@@ -160,6 +160,17 @@ select tran_gid, case tran_gid % 3 when 0 then '  ' || lower(ref_no) || ' ' when
 from {fx_feed}""",
 }
 
+GROWING = (
+    "recon_trn_ttran",
+    "recon_trn_ttranko",
+    "recon_trn_tko",
+    "recon_trn_tkodtl",
+    "recon_trn_ttranbrkp",
+    "recon_trn_tscheduler",
+    "fx_feed",
+    "fx_mtm_feed",
+)
+
 DRIVER_TABLES = ("region", "nation", "customer", "orders", "lineitem")
 
 _NAME = re.compile(r"\{(\w+)\}")
@@ -187,7 +198,20 @@ def with_prefix(sql: str, views: dict[str, str] | None = None) -> str:
 
 
 class Fixtures:
-    """Fixture views of one data folder as lazy DataFrames."""
+    """Fixture views of one data folder as lazy DataFrames.
+
+    Views are derived anew in every query unless :meth:`store` has written them out before.
+    """
+
+    stored: dict[str, str] = {}
+
+    @classmethod
+    def store(cls, spark: SparkSession, sf_dir: str, folder: str) -> None:
+        """Write the growing tables and feeds of ``sf_dir`` below ``folder`` and use them from now on."""
+        views = cls(spark, sf_dir)
+        for name in GROWING:
+            views[name].write.mode("errorifexists").parquet(f"{folder}/{name}")
+        cls.stored[sf_dir] = folder
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -196,7 +220,9 @@ class Fixtures:
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._frames:
-            if name in DRIVER_TABLES:
+            if name in GROWING and self.sf_dir in self.stored:
+                df = self.spark.read.parquet(f"{self.stored[self.sf_dir]}/{name}")
+            elif name in DRIVER_TABLES:
                 df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             else:
                 sql = SQL[name]
