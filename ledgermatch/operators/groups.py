@@ -2,13 +2,15 @@
 
 Groups that fit a task use plain windows over one hash partitioning on the match keys, so a whole
 sequence of matching passes needs a single shuffle. Groups above a row limit are cut into chunks
-by date and id range; each chunk is a window of its own and gets what came before it from a small
-table of chunk totals.
+of consecutive rows; each chunk is a window of its own and gets what came before it from a small table
+of chunk totals.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,27 +28,30 @@ HOT_GROUPS = 10_000
 BAND_CENTS = 100_000
 
 ORDER = ("tran_date", "tran_gid")
-CHUNK = ("_chunk_date", "_chunk_block")
+CHUNK = "_chunk"
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Groups to cut, with row count and id range; None if there are none.
+@dataclass(frozen=True)
+class HotGroups:
+    """Groups to cut: their keys, at most ``HOT_GROUPS`` rows, and how many rows they have in all."""
 
-    The result has at most ``HOT_GROUPS`` rows, so it may be broadcast.
-    """
-    rows = (
+    keys: DataFrame
+    rows: int
+
+
+def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> HotGroups | None:
+    """Groups with more than ``hot_rows`` rows, the largest first; None if there are none."""
+    large = (
         df.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("_rows"),
-            F.min("tran_gid").alias("_first"),
-            F.max("tran_gid").alias("_last"),
-        )
+        .agg(F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") > hot_rows)
         .orderBy(F.desc("_rows"), *keys)
         .limit(HOT_GROUPS)
     )
-    found = rows.collect()
-    return local_table(df.sparkSession, found, rows.schema) if found else None
+    found = large.collect()
+    if not found:
+        return None
+    return HotGroups(local_table(df.sparkSession, found, large.schema).drop("_rows"), sum(r["_rows"] for r in found))
 
 
 class WindowGroups:
@@ -80,66 +85,44 @@ class ChunkedGroups:
     otherwise each operation would repeat all that came before it.
     """
 
-    def __init__(self, keys: Sequence[str], hot: DataFrame, folder: RunFolder, hot_rows: int = HOT_ROWS):
+    def __init__(self, keys: Sequence[str], hot: HotGroups, folder: RunFolder, hot_rows: int = HOT_ROWS):
         self.keys = list(keys)
         self.hot = hot
         self.folder = folder
         self.hot_rows = hot_rows
 
     def prepare(self, df: DataFrame) -> DataFrame:
-        """Add the chunk of a row. Chunks follow the order (date, id) of the rows: a date is cut
-        into id ranges of equal width, as many as the group has row limits."""
-        place = (F.col("tran_gid") - F.col("_first")).cast("double")
-        width = (F.col("_last") - F.col("_first") + 1).cast("double")
-        blocks = F.ceil(F.col("_rows") / self.hot_rows)
-        return (
-            df.join(F.broadcast(self.hot), self.keys)
-            .withColumns(
-                {
-                    "_chunk_date": F.coalesce("tran_date", F.lit("0001-01-01").cast("date")),
-                    "_chunk_block": F.floor(place / width * blocks),
-                }
-            )
-            .drop("_rows", "_first", "_last")
-        )
+        """Add the chunk of a row: its partition in the order (keys, date, id). Ids are unique, so
+        partitions come out even however the rows spread over keys, dates and ids. Writing the
+        rows fixes the numbers."""
+        chunks = math.ceil(self.hot.rows / self.hot_rows)
+        rows = df.join(F.broadcast(self.hot.keys), self.keys, "left_semi")
+        placed = rows.repartitionByRange(chunks, *self.keys, *ORDER).withColumn(CHUNK, F.spark_partition_id())
+        return self.folder.scratch(placed)
 
     def totals(self, df: DataFrame, by: Sequence[str], sums: dict[str, Column], maxima: dict[str, Column]) -> DataFrame:
         """Group totals by way of chunk totals. They come back per chunk, so no single key of the
         join has many rows."""
         df = self.folder.scratch(df)
-        chunks = df.groupBy(*by, *CHUNK).agg(
+        chunks = df.groupBy(*by, CHUNK).agg(
             *[F.sum(c).alias(n) for n, c in sums.items()],
             *[F.max(c).alias(n) for n, c in maxima.items()],
         )
         groups = chunks.groupBy(*by).agg(
             *[F.sum(n).alias(n) for n in sums], *[F.max(n).alias(n) for n in maxima]
         )
-        per_chunk = chunks.select(*by, *CHUNK).join(groups, list(by))
-        return df.join(per_chunk, [*by, *CHUNK], "left")
+        per_chunk = chunks.select(*by, CHUNK).join(groups, list(by))
+        return df.join(per_chunk, [*by, CHUNK], "left")
 
     def running(self, df: DataFrame, by: Sequence[str], value: Column, name: str) -> DataFrame:
         df = self.folder.scratch(df)
-        within = Window.partitionBy(*by, *CHUNK).orderBy(*ORDER)
-        blocks = df.groupBy(*by, *CHUNK).agg(F.sum(value).alias("_total"))
-        dates = blocks.groupBy(*by, "_chunk_date").agg(F.sum("_total").alias("_total"))
-        before_date = dates.select(
-            *by,
-            "_chunk_date",
-            _earlier(F.col("_total"), Window.partitionBy(*by).orderBy("_chunk_date")).alias("_dates"),
-        )
-        before_block = blocks.select(
-            *by,
-            *CHUNK,
-            _earlier(
-                F.col("_total"), Window.partitionBy(*by, "_chunk_date").orderBy("_chunk_block")
-            ).alias("_blocks"),
-        )
-        carried = before_block.join(before_date, [*by, "_chunk_date"]).select(
-            *by, *CHUNK, (F.col("_dates") + F.col("_blocks")).alias("_carried")
-        )
+        totals = df.groupBy(*by, CHUNK).agg(F.sum(value).alias("_total"))
+        earlier = _earlier(F.col("_total"), Window.partitionBy(*by).orderBy(CHUNK))
+        carried = totals.select(*by, CHUNK, earlier.alias("_carried"))
+        within = Window.partitionBy(*by, CHUNK).orderBy(*ORDER)
         return (
             df.withColumn(name, _earlier(value, within))
-            .join(carried, [*by, *CHUNK], "left")
+            .join(carried, [*by, CHUNK], "left")
             .withColumn(name, F.col(name) + F.coalesce("_carried", F.lit(0)))
             .drop("_carried")
         )
@@ -172,9 +155,9 @@ class ChunkedGroups:
             .filter(F.col("_band") == F.col("_own"))
             .select(*keys, "_left", "_lo", "_lo2", "_hi", "_hi2")
         )
-        chunks = df.filter(F.col("_left").isNotNull()).select(*keys, "_left", *CHUNK).distinct()
+        chunks = df.filter(F.col("_left").isNotNull()).select(*keys, "_left", CHUNK).distinct()
         per_chunk = chunks.join(found, [*keys, "_left"])
-        return df.join(per_chunk, [*keys, "_left", *CHUNK], "left")
+        return df.join(per_chunk, [*keys, "_left", CHUNK], "left")
 
 
 def _earlier(value: Column, ordered) -> Column:

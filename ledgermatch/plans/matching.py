@@ -190,7 +190,7 @@ def _run_steps(
     if hot is None:
         parts = [(WindowGroups(keys), players)]
     else:
-        large = F.broadcast(hot.select(*keys))
+        large = F.broadcast(hot.keys)
         parts = [
             (WindowGroups(keys), players.join(large, keys, "left_anti")),
             (ChunkedGroups(keys, hot, folder, hot_rows), players),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cached_property
 from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,13 +26,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class RunFolder:
-    """Tables of one run, below a name of its own."""
+    """Tables of one run, below a name of its own. The shared folder is asked for when the first
+    table is written."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.path = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
         self._number = count(1)
 
+    @cached_property
+    def path(self) -> str:
+        return f"{shared_folder(self.spark)}/run-{uuid.uuid4().hex}"
+
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back."""
         path = f"{self.path}/{name}"
