@@ -43,17 +43,13 @@ def partial_count(period: Period) -> Column:
     )
 
 
-def partial_value() -> Column:
+def partial_value(value: Column, excp: Column) -> Column:
     """Partly matched, as the value dashboard sees it (round-off is not considered)."""
-    return (
-        (F.col("tran_value") != F.col("excp_value"))
-        & (F.col("excp_value") != 0)
-        & (F.col("tran_value") != 0)
-    )
+    return (value != excp) & (excp != 0) & (value != 0)
 
 
-def fully_open() -> Column:
-    return (F.col("tran_value") == F.col("excp_value")) & (F.col("excp_value") != 0)
+def fully_open(value: Column, excp: Column) -> Column:
+    return (value == excp) & (excp != 0)
 
 
 def in_period(period: Period, column: str = "tran_date") -> Column:

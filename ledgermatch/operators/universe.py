@@ -51,14 +51,15 @@ def loads_in(ledger: Ledger, period: Period | None) -> DataFrame:
     return loads.select("scheduler_gid", F.to_date("insert_date").alias("load_date"))
 
 
-def _scoped(trans: DataFrame, scope: DataFrame) -> DataFrame:
+def scoped(trans: DataFrame, scope: DataFrame) -> DataFrame:
+    """Live trans of the scope with their recon type."""
     return live(trans).join(scope.select("recon_code", "recontype_code"), "recon_code")
 
 
 def in_window(trans: DataFrame, scope: DataFrame, period: Period) -> DataFrame:
     """Trans of recons dated by tran date, within the period."""
     return (
-        _scoped(trans.filter(in_period(period)), scope)
+        scoped(trans.filter(in_period(period)), scope)
         .filter(by_tran_date())
         .select(*UNIVERSE_COLUMNS)
     )
@@ -70,7 +71,7 @@ def by_load(
     """Trans of recons dated by feed load, as unit counts: open 1/1, matched 0/0."""
     unit = 0 if matched else 1
     return (
-        _scoped(trans, scope)
+        scoped(trans, scope)
         .filter(by_load_date())
         .join(loads, "scheduler_gid")
         .select(
@@ -97,7 +98,7 @@ def opening_exceptions(ledger: Ledger, scope: DataFrame, period: Period) -> Data
 def _placed(trans: DataFrame, scope: DataFrame, loads: DataFrame, period: Period) -> DataFrame:
     """Trans with the three ways a row can take part as flags."""
     return (
-        _scoped(trans, scope)
+        scoped(trans, scope)
         .join(loads, "scheduler_gid", "left")
         .withColumns(
             {
@@ -156,7 +157,7 @@ def value_universe(ledger: Ledger, scope: DataFrame) -> DataFrame:
         return F.when(by_load_date(), loaded).otherwise(F.col(column)).alias(column)
 
     return (
-        _scoped(ledger.open, scope)
+        scoped(ledger.open, scope)
         .join(loads, "scheduler_gid", "left")
         .filter(by_tran_date() | (by_load_date() & F.col("load_date").isNotNull()))
         .select(

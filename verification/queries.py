@@ -174,7 +174,7 @@ def partial_exceptions(c: Case) -> DataFrame:
 
 @query
 def fully_open(c: Case) -> DataFrame:
-    return un.value_universe(c.ledger, c.scope).filter(p.fully_open()).select("recon_code", "tran_gid", "excp_value")
+    return un.value_universe(c.ledger, c.scope).filter(p.fully_open(F.col("tran_value"), F.col("excp_value"))).select("recon_code", "tran_gid", "excp_value")
 
 
 @query
