@@ -99,10 +99,15 @@ def value_figures(ledger: Ledger, scope: DataFrame, period: Period) -> DataFrame
     def opening(name: str) -> Column:
         return F.col(name) + F.col(f"matched_{name}")
 
+    # One row per recon from each table; adding them up needs no second join on the recon.
+    parts = open_totals(ledger, scope, period).unionByName(
+        matched_totals(ledger, scope, period), allowMissingColumns=True
+    )
+    figures = [f for f in parts.schema.fields if f.name != "recon_code"]
+    totals = parts.groupBy("recon_code").agg(*[F.sum(f.name).cast(f.dataType).alias(f.name) for f in figures])
     return (
         scope.select("recon_code", "recontype_code")
-        .join(open_totals(ledger, scope, period), "recon_code", "left")
-        .join(matched_totals(ledger, scope, period), "recon_code", "left")
+        .join(totals, "recon_code", "left")
         .na.fill(0)
         .withColumns(
             {
