@@ -40,6 +40,21 @@ from words d left join spots s on s.id = d.id left join found f on f.id = d.id
 where d.kind = 'd'
 """
 
+BLANKS = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+OP5 = f"""
+with lines as (
+  select doc_id, i, lines[i] as line, translate(trim(lines[i], {BLANKS}), '{UPPER}', '{LOWER}') as key
+  from (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents), unnest(range(1, len(lines) + 1)) as r(i)
+),
+often as (select key from lines where length(key) >= 1 group by key having count(distinct doc_id) >= 10),
+marked as (select l.*, o.key is not null as gone from lines l left join often o on l.key = o.key)
+select doc_id, count(*)::bigint as n_lines, count(*) filter (where gone)::bigint as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
+from marked group by doc_id
+"""
+
 ORACLE = {
     "op1_decontamination": OP1,
+    "op5_line_dedup": OP5,
 }

@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermatch.llm.links import components
@@ -117,11 +117,14 @@ def _roots(parent: np.ndarray, at: np.ndarray) -> np.ndarray:
     return up
 
 
-def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Join the sets of each pair of ``a`` and ``b``; returns the roots of ``a``. A root is the
+    smallest number of its set."""
+    first = a
     while True:
         a, b = _roots(parent, a), _roots(parent, b)
         if not (apart := a != b).any():
-            return
+            return _roots(parent, first)
         a, b = a[apart], b[apart]
         np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
 
@@ -138,7 +141,7 @@ def forest(groups: np.ndarray, codes: np.ndarray, distance: int = DISTANCE) -> t
     step, left = 1, np.flatnonzero(small)
     while len(left := left[left + step < len(codes)]) and len(left := left[groups[left] == groups[left + step]]):
         near = left[np.bitwise_count(codes[left] ^ codes[left + step]) <= distance]
-        _unite(parent, near, near + step)
+        unite(parent, near, near + step)
         step += 1
     for s, e in zip(starts, ends, strict=True):
         if e - s > 8 * _FAN:
@@ -146,7 +149,7 @@ def forest(groups: np.ndarray, codes: np.ndarray, distance: int = DISTANCE) -> t
             many = max(1, min(256, (1 << 22) // (e - s)))  # so that what is open at once stays small
             for at in range(s, e, many):
                 q, found = index.search(codes[at : min(at + many, e)], distance)
-                _unite(parent, at + q, s + found)
+                unite(parent, at + q, s + found)
     top = _roots(parent, np.arange(len(codes)))
     child = np.flatnonzero(top != np.arange(len(codes)))
     return codes[child], codes[top[child]]
@@ -209,6 +212,14 @@ def _turned_back(codes: np.ndarray, turns: np.ndarray) -> np.ndarray:
     return np.where(turns == 0, codes, turned)
 
 
+def _roots_of(rows: DataFrame, folder: RunFolder, distance: int) -> DataFrame:
+    """``fp`` and ``root``, the same fingerprint for all that links connect, of the column ``fp``."""
+    classes = folder.scratch(rows.select("fp").distinct())
+    roots = components(linked(classes, folder, distance), folder)
+    joined = classes.join(roots, F.col("fp") == F.col("node"), "left")
+    return joined.select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = DISTANCE
 ) -> DataFrame:
@@ -221,11 +232,25 @@ def near_duplicates(
     """
     folder = RunFolder(docs.sparkSession)
     rows = folder.scratch(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))))
-    classes = folder.scratch(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(linked(classes.select("fp"), folder, distance), folder)
-    joined = classes.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.join(ids, "root").select("fp", "component_id")
+    roots = folder.scratch(_roots_of(rows, folder, distance))
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    ids = least.join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    named = roots.join(ids, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
+    """The rows of ``docs``, all columns, less near-duplicates: of each group of linked documents the
+    one with the smallest doc_id stays. Ids decide with null last, then a hash of the text; of rows
+    equal in both one stays."""
+    folder = RunFolder(docs.sparkSession)
+    key = F.xxhash64(doc_id, text)
+    given = docs.select(key.alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = folder.scratch(fingerprints(given, carry=("key", "doc_id")))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+    best = rows.groupBy("fp").agg(first.alias("first"))
+    best = best.join(_roots_of(rows, folder, distance), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    stay = best.select(F.col("first.key").alias("__key"))
+    keyed = docs.withColumn("__key", key).join(stay, "__key", "left_semi")
+    turn = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+    return keyed.withColumn("__turn", turn).where("__turn = 1").drop("__key", "__turn")

@@ -130,6 +130,13 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix((sums[n:] - sums[:-n]) * inverse[: len(hashes) - n + 1])
 
 
+def span_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the words of each span, equal for equal words wherever they stand."""
+    power, inverse = _WORD_POWERS(len(hashes) + 1)
+    sums = prefix_sums(hashes * power[: len(hashes)])
+    return (sums[ends] - sums[starts]) * inverse[starts]
+
+
 def sliding_min(a: np.ndarray, n: int) -> np.ndarray:
     """Smallest of every ``n`` consecutive values."""
     have = 1
