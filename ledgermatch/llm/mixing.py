@@ -50,8 +50,8 @@ def source_targets(
         sizes.repartitionByRange(parts, order).withColumn("part", F.spark_partition_id())
     )
     counts = dealt.groupBy("part").agg(F.count("*").alias("own"))  # a row for each partition
-    before = counts.alias("a").join(counts.alias("b"), F.col("b.part") < F.col("a.part"), "left")
-    before = before.groupBy("a.part").agg(F.coalesce(F.sum("b.own"), F.lit(0)).alias("before"))
+    earlier = F.sum("own").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select("part", F.coalesce(earlier, F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
     named = dealt.withColumn("own_rank", rank).join(before, "part")
     number = (F.col("before") + F.col("own_rank")).cast("long")
@@ -104,8 +104,9 @@ def _pivot(group: Column, seed: int, level: int) -> Column:
     return F.aggregate(group, start, step)
 
 
-def _rounded(open_: DataFrame, folder: RunFolder, seed: int) -> DataFrame:
-    """``open_`` (number, doc_id, size, m, p) with every p made 0 or 1."""
+def _rounded(open_: DataFrame, folder: RunFolder, seed: int, few: bool) -> DataFrame:
+    """``open_`` (number, doc_id, size, m, p) with every p made 0 or 1. ``few``: there are so few sources
+    that a table of them may go to all tasks."""
     decided, level = [], 0
     rows = open_
     while True:
@@ -117,8 +118,9 @@ def _rounded(open_: DataFrame, folder: RunFolder, seed: int) -> DataFrame:
         order = F.struct(-F.col("size"), F.xxhash64(F.lit(seed), F.lit(level), "doc_id", "size", "m"))
         item = F.struct("doc_id", "size", "m", "p").cast(_LEVEL)
         folded = (
-            rows.join(counts, "number")
+            rows.join(F.broadcast(counts) if few else counts, "number")
             .withColumn("group", F.pmod(F.xxhash64(F.lit(seed + 1), F.lit(level), "doc_id", "size", "m"), groups))
+            .repartition("number", "group")  # or a join by number would leave a source's groups together
             .groupBy("number", "group")
             .agg(F.array_sort(F.collect_list(F.struct(order.alias("at"), item.alias("item")))).alias("rows"))
             .select("number", _pivot(F.col("rows")["item"], seed, level).alias("out"))
@@ -180,7 +182,8 @@ def mix(
         F.sum(F.col("size") * F.col("m")).alias("source_size"), F.sum("m").alias("rows")
     )
     sources = folder.scratch(source_targets(sizes, folder, weights, cap))
-    few = F.broadcast(sources) if sources.count() <= SMALL else sources
+    small = sources.count() <= SMALL
+    few = F.broadcast(sources) if small else sources
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate + F.lit(1e-12))
     share = F.greatest(rate - whole, F.lit(0.0)) * F.col("m")  # expected extra copies of a unit's rows
@@ -198,9 +201,9 @@ def mix(
     has, long_one = (F.col("p") > 1e-9) & (F.col("size") > 0), F.col("size") * 2 * F.col("rows") > F.col("source_size")
     columns = ["number", "doc_id", "size", "m", "p"]
     long_ones = due.where(has & long_one).select(columns)
-    done = folder.scratch(_rounded(long_ones, folder, seed))
+    done = folder.scratch(_rounded(long_ones, folder, seed, small))
     rest = _with_carry(due.where(has & ~long_one).select(columns), _words(long_ones, done))
-    done = done.union(_rounded(folder.scratch(rest), folder, seed + 2))
+    done = done.union(_rounded(folder.scratch(rest), folder, seed + 2, small))
     settled = done.union(due.where(~has).select(columns).withColumn("p", F.lit(0.0)))
     named = settled.join(few, "number").withColumn("more", F.floor(share + F.lit(1e-12)) + F.col("p"))
     turn = F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("turn")

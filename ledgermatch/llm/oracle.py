@@ -54,7 +54,47 @@ select doc_id, count(*)::bigint as n_lines, count(*) filter (where gone)::bigint
 from marked group by doc_id
 """
 
+OP6 = """
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and len(embedding) > 0
+    and len([x for x in embedding if x is null or not isfinite(x)]) = 0 and len([x for x in embedding if x <> 0]) > 0
+),
+links as (
+  select a.vec_id as a, b.vec_id as b from v a join v b
+    on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.9
+),
+reach(vec_id, other) as (
+  select vec_id, vec_id from embeddings
+  union
+  select r.vec_id, l.b from reach r join links l on r.other = l.a
+),
+roots as (select vec_id, min(other) as component_id from reach group by vec_id),
+counts as (select a as vec_id, count(*) as n from links group by a)
+select r.vec_id, coalesce(c.n, 0)::bigint as n_links, r.component_id, r.vec_id = r.component_id as kept
+from roots r left join counts c on c.vec_id = r.vec_id
+"""
+
+OP8 = """
+with hashed as (
+  select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha1(coalesce(html, '')) as h from pages
+),
+nibbles as (
+  select *, [instr('0123456789abcdef', substr(h, i, 1)) - 1 for i in range(1, 41)] as x,
+         min(page_id) over (partition by h) as first_id
+  from hashed
+)
+select page_id, payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + (((16 * x[(5 * k) // 4 + 1] + x[(5 * k) // 4 + 2]) >> (3 - (5 * k) % 4)) & 31), 1) for k in range(0, 32)], '') as payload_digest,
+       case when page_id = first_id then 'response' else 'revisit' end as record_type,
+       case when page_id <> first_id then first_id end as refers_to, cast(null as varchar) as error
+from nibbles
+"""
+
 ORACLE = {
     "op1_decontamination": OP1,
     "op5_line_dedup": OP5,
+    "op6_embedding_dedup": OP6,
+    "op8_warc": OP8,
 }

@@ -23,11 +23,16 @@ from ledgermatch.sources.rounds import RunFolder
 HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. Python workers are told where the package is, in case it is not installed."""
+def tell_workers(spark: SparkSession) -> None:
+    """Python workers are told where the package is, in case it is not installed."""
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if HOME not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([HOME, *filter(None, paths)])
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table."""
+    tell_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
