@@ -15,14 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgermatch.sources.local import local_table
 from ledgermatch.sources.rounds import RunFolder
 
 # A group with more rows than this is cut into chunks.
 HOT_ROWS = 1_000_000
-# At most this many groups are cut: the largest. Any other group then holds less than one
-# ten-thousandth of all rows, which a window can spill and sort.
-HOT_GROUPS = 10_000
 # Amount levels of a chunked group are compared within bands of this many cents (or four
 # tolerances, if that is more), which bounds the levels a task sees.
 BAND_CENTS = 100_000
@@ -33,25 +29,32 @@ CHUNK = "_chunk"
 
 @dataclass(frozen=True)
 class HotGroups:
-    """Groups to cut: their keys, at most ``HOT_GROUPS`` rows, and how many rows they have in all."""
+    """Groups to cut: the table of their keys, and how many rows they have in all."""
 
     keys: DataFrame
     rows: int
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> HotGroups | None:
-    """Groups with more than ``hot_rows`` rows, the largest first; None if there are none."""
-    large = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > hot_rows)
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(HOT_GROUPS)
-    )
-    found = large.collect()
-    if not found:
+def hot_groups(df: DataFrame, keys: Sequence[str], folder: RunFolder, hot_rows: int = HOT_ROWS) -> HotGroups | None:
+    """All groups with more than ``hot_rows`` rows, as a written table; None if there are none."""
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows)
+    rows = large.agg(F.sum("_rows")).first()[0]
+    if rows is None:
         return None
-    return HotGroups(local_table(df.sparkSession, found, large.schema).drop("_rows"), sum(r["_rows"] for r in found))
+    return HotGroups(folder.scratch(large).drop("_rows"), rows)
+
+
+def split_by_size(
+    df: DataFrame, keys: Sequence[str], folder: RunFolder, hot_rows: int = HOT_ROWS
+) -> list[tuple[WindowGroups | ChunkedGroups, DataFrame]]:
+    """The rows of small groups and of large ones, each with what works on them."""
+    hot = hot_groups(df, keys, folder, hot_rows)
+    if hot is None:
+        return [(WindowGroups(keys), df)]
+    return [
+        (WindowGroups(keys), df.join(hot.keys, list(keys), "left_anti")),
+        (ChunkedGroups(keys, hot, folder, hot_rows), df),
+    ]
 
 
 class WindowGroups:
@@ -96,7 +99,7 @@ class ChunkedGroups:
         partitions come out even however the rows spread over keys, dates and ids. Writing the
         rows fixes the numbers."""
         chunks = math.ceil(self.hot.rows / self.hot_rows)
-        rows = df.join(F.broadcast(self.hot.keys), self.keys, "left_semi")
+        rows = df.join(self.hot.keys, self.keys, "left_semi")
         placed = rows.repartitionByRange(chunks, *self.keys, *ORDER).withColumn(CHUNK, F.spark_partition_id())
         return self.folder.scratch(placed)
 

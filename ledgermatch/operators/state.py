@@ -2,6 +2,8 @@
 
 ``allocs`` holds a row's committed KO lines, ``proposals`` those only proposed. A row meets few
 passes, so the arrays stay short; they save a join of the state with its KO lines after each pass.
+A rule that only proposes uses up what it proposes for its own later passes: ``proposed_value``, which
+counts for ``proposed_rule`` alone.
 """
 
 from __future__ import annotations
@@ -18,39 +20,58 @@ ALLOC_TYPE = (
 )
 
 
+STATE = ("allocs", "proposals", "proposed_rule", "proposed_value")
+
+
 def with_state(trans: DataFrame) -> DataFrame:
     """Trans with empty KO lines; a state is returned as it is."""
-    missing = {c: F.array().cast(ALLOC_TYPE) for c in ("allocs", "proposals") if c not in trans.columns}
+    lines, none = F.array().cast(ALLOC_TYPE), F.lit(None).cast("string")
+    blank = dict(zip(STATE, (lines, lines, none, F.lit(0).cast(MONEY)), strict=True))
+    missing = {c: v for c, v in blank.items() if c not in trans.columns}
     return trans.withColumns(missing) if missing else trans
 
 
-def apply_hits(df: DataFrame, keys: list[str], round_no: int, step: int, commit: bool) -> DataFrame:
-    """Fold a pass's result into the state. Ids of KOs depend on run data only, so a repeated task
-    gives the same ids."""
+def working_value() -> Column:
+    """What the row's rule may still match: the open value, less what the rule has proposed."""
+    own = F.col("proposed_rule").eqNullSafe(F.col("rule_code"))
+    return net_open() - F.when(own, F.col("proposed_value")).otherwise(F.lit(0).cast(MONEY))
+
+
+def apply_hits(df: DataFrame, keys: list[str], round_no: int, step: int, commit: bool, job_gid: int = 0) -> DataFrame:
+    """Fold a pass's result into the state. Passes work on amounts; ``_sign`` is the sign of the row's
+    open value. Ids of KOs depend on the job and on run data only: a repeated task gives the same ids,
+    another job others."""
     hit = F.coalesce(F.col("_take") > 0, F.lit(False))
-    signed = (F.col("_residue") * F.col("tran_mult")).cast(MONEY)
+    signed = (F.col("_residue") * F.col("tran_mult") * F.col("_sign")).cast(MONEY)
+    taken = (F.col("_take") * F.col("_sign")).cast(MONEY)
     ko_gid = F.md5(
-        F.concat_ws("\x1f", "rule_code", F.lit(round_no), F.lit(step), *[F.col(k).cast("string") for k in keys], "_seed")
+        F.concat_ws("\x1f", F.lit(job_gid), "rule_code", F.lit(round_no), F.lit(step), *[F.col(k).cast("string") for k in keys], "_seed")
     )
     line = F.struct(
         F.lit(round_no).alias("round"),
         F.lit(step).alias("step"),
         F.col("rule_code"),
         ko_gid.alias("ko_gid"),
-        F.col("_take").alias("ko_value"),
+        taken.alias("ko_value"),
         F.col("tran_mult").cast("int").alias("ko_mult"),
         signed.alias("roundoff_value"),
     )
     target = "allocs" if commit else "proposals"
     columns = {target: F.when(hit, F.concat(target, F.array(line))).otherwise(F.col(target)).cast(ALLOC_TYPE)}
     if commit:
-        columns["excp_value"] = F.when(hit, (F.col("excp_value") - F.col("_take")).cast(MONEY)).otherwise(F.col("excp_value"))
+        columns["excp_value"] = F.when(hit, (F.col("excp_value") - taken).cast(MONEY)).otherwise(F.col("excp_value"))
         columns["roundoff_value"] = F.when(hit, (F.col("roundoff_value") + signed).cast(MONEY)).otherwise(F.col("roundoff_value"))
+    else:
+        own = F.col("proposed_rule").eqNullSafe(F.col("rule_code"))
+        before = F.when(own, F.col("proposed_value")).otherwise(F.lit(0).cast(MONEY))
+        columns["proposed_value"] = F.when(hit, (before + taken).cast(MONEY)).otherwise(F.col("proposed_value"))
+        columns["proposed_rule"] = F.when(hit, F.col("rule_code")).otherwise(F.col("proposed_rule"))
     return df.withColumns(columns).drop("_take", "_residue", "_seed")
 
 
 def still_open() -> Column:
-    return net_open() > 0
+    """Something is left to match. Reversals have negative values and match among themselves."""
+    return net_open() != 0
 
 
 def ko_lines(state: DataFrame, source: str = "allocs") -> DataFrame:
@@ -103,7 +124,7 @@ def ko_tables(lines: DataFrame, ko_date: Column, job_gid: int) -> tuple[DataFram
 
 def state_split(state: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Open trans and matched trans. A tolerated difference stays open, netted by its round-off."""
-    plain = state.drop("allocs", "proposals")
+    plain = state.drop(*STATE)
     return plain.filter(F.col("excp_value") != 0), plain.filter(F.col("excp_value") == 0)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from decimal import Decimal
-from itertools import groupby
+from itertools import count, groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +17,10 @@ from pyspark.sql.types import StructType
 
 from ledgermatch.functions.money import MONEY
 from ledgermatch.functions.predicates import in_period, live, net_open
-from ledgermatch.operators.groups import HOT_ROWS, ChunkedGroups, WindowGroups, hot_groups
+from ledgermatch.operators.groups import HOT_ROWS, split_by_size
 from ledgermatch.operators.passes import one_to_one, partial, whole_group
 from ledgermatch.operators.scope import active_rules, eligible_recons
-from ledgermatch.operators.state import apply_hits, still_open, with_state
+from ledgermatch.operators.state import apply_hits, ko_lines, still_open, with_state, working_value
 from ledgermatch.params import Period
 from ledgermatch.sources.ledger import Ledger
 from ledgermatch.sources.local import local_table
@@ -55,9 +55,11 @@ class Rule:
     keys: tuple[str, ...] = ("ref_no",)
 
     def passes(self) -> list[str]:
-        """Kinds of pass the rule runs, in order. A many-to-many rule then tries one-to-many; a rule
-        without a group flag matches partial values only."""
-        return [*([self.group_flag] if self.group_flag else []), *(["PARTIAL"] if self.partial else []), *(["OTM"] if self.group_flag == "MTM" else [])]
+        """Kinds of pass the rule runs, in order. A partial pass follows each full one; a many-to-many
+        rule then tries one-to-many; a rule without a group flag matches partial values only."""
+        full = [self.group_flag] if self.group_flag else []
+        rest = ["PARTIAL"] if self.partial else []
+        return [*full, *rest, *(["OTM", *rest] if self.group_flag == "MTM" else [])]
 
 
 @dataclass(frozen=True)
@@ -81,7 +83,8 @@ def load_rules(ledger: Ledger, as_of: Column, recons: DataFrame | None = None) -
     rules = active_rules(ledger, as_of)
     if recons is not None:
         rules = rules.join(recons.select("recon_code"), "recon_code", "left_semi")
-    defaults = {"tolerance": F.lit(0).cast(MONEY), "partial_flag": F.lit("N"), "match_keys": F.lit("ref_no")}
+    on_trans = F.when(F.col("rule_apply_on") == "T", F.lit("Y")).otherwise(F.lit("N"))
+    defaults = {"tolerance": F.lit(0).cast(MONEY), "partial_flag": on_trans, "match_keys": F.lit("ref_no")}
     rules = rules.withColumns({c: v for c, v in defaults.items() if c not in rules.columns})
     rows = rules.orderBy("recon_code", "rule_order", "rule_code").collect()
     return [
@@ -137,23 +140,24 @@ def _rule_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
 def _with_rule(df: DataFrame, step: Step) -> DataFrame:
     """Add the step's rule, the row's side in it and the value it may still match. A rule that
     compares a dataset with itself sets debits against credits."""
-    rules = F.broadcast(_rule_table(df.sparkSession, step.rules))
+    rules = _rule_table(df.sparkSession, step.rules)
     by_mode = F.when(F.col("tran_acc_mode") == "D", F.lit("S")).when(F.col("tran_acc_mode") == "C", F.lit("T"))
-    usable = still_open() & F.col("rule_code").isNotNull()
+    value = working_value() * F.col("_sign")
+    usable = (value > 0) & F.col("rule_code").isNotNull()
     if "in_period" in df.columns and not step.probable:
         usable = usable & F.col("in_period")
     return (
         df.join(rules, ["recon_code", "dataset_code"], "left")
         .withColumns(
             {
-                "open_value": F.when(usable, net_open()).cast(MONEY),
+                "open_value": F.when(usable, value).cast(MONEY),
                 "side": F.when(F.col("rule_code").isNotNull(), F.coalesce("side", by_mode)),
             }
         )
     )
 
 
-def _run_step(df: DataFrame, step: Step, groups, round_no: int, number: int) -> DataFrame:
+def _run_step(df: DataFrame, step: Step, groups, round_no: int, number: int, job_gid: int) -> DataFrame:
     df = _with_rule(df, step)
     if step.kind == "OTO":
         df = one_to_one(df, groups, step.tolerance)
@@ -163,14 +167,15 @@ def _run_step(df: DataFrame, step: Step, groups, round_no: int, number: int) ->
         df = whole_group(df, groups, step.kind)
     else:
         raise ValueError(f"unknown group flag {step.kind!r}")
-    df = apply_hits(df, groups.keys, round_no, number, step.commit)
+    df = apply_hits(df, groups.keys, round_no, number, step.commit, job_gid)
     return df.drop("rule_code", "tolerance", "side", "open_value")
 
 
 def _run_steps(
-    state: DataFrame, steps: Sequence[tuple[int, Step]], round_no: int, hot_rows: int, folder: RunFolder
+    state: DataFrame, steps: Sequence[tuple[int, Step]], round_no: int, hot_rows: int, folder: RunFolder, job_gid: int
 ) -> DataFrame:
-    """Steps with the same keys. Rows that cannot take part stay out of the shuffle."""
+    """Steps with the same keys. Rows that cannot take part stay out of the shuffle. Rows match only
+    rows whose open value has the same sign, which is a key like the others."""
     spark = state.sparkSession
     columns = state.columns
     keys = ["recon_code", *steps[0][1].keys]
@@ -182,28 +187,45 @@ def _run_steps(
     if "in_period" in columns and not any(s.probable for _, s in steps):
         takes_part = takes_part & F.col("in_period")
     takes_part = F.coalesce(takes_part, F.lit(False))
-    marked = state.join(F.broadcast(table), ["recon_code", "dataset_code"], "left")
-    players = marked.filter(takes_part).select(*columns)
+    marked = state.join(table, ["recon_code", "dataset_code"], "left")
+    players = marked.filter(takes_part).select(*columns, F.signum(net_open()).cast("int").alias("_sign"))
     others = marked.filter(~takes_part).select(*columns)
 
-    hot = hot_groups(players, keys, hot_rows)
-    if hot is None:
-        parts = [(WindowGroups(keys), players)]
-    else:
-        large = F.broadcast(hot.keys)
-        parts = [
-            (WindowGroups(keys), players.join(large, keys, "left_anti")),
-            (ChunkedGroups(keys, hot, folder, hot_rows), players),
-        ]
     result = others
-    for groups, part in parts:
+    for groups, part in split_by_size(players, [*keys, "_sign"], folder, hot_rows):
         part = groups.prepare(part)
         for number, step in steps:
-            part = _run_step(part, step, groups, round_no, number)
+            part = _run_step(part, step, groups, round_no, number, job_gid)
         result = result.unionByName(part.select(*columns))
     return result
 
 
+def within_parents(breakups: DataFrame, trans: DataFrame, hot_rows: int, folder: RunFolder) -> DataFrame:
+    """Breakups with no more open value than their parent has. What tran rules took off a parent its
+    breakups have lost, the latest first; parents that left the state are closed.
+
+    Only breakups of parents that are short of value are put in order.
+    """
+    columns, zero = breakups.columns, F.lit(0).cast(MONEY)
+    room = trans.select(F.col("tran_gid").alias("parent_gid"), F.abs(net_open()).alias("_room"))
+    wanted = breakups.groupBy("parent_gid").agg(F.sum(F.abs(net_open())).alias("_wanted"))
+    short = (
+        wanted.join(room, "parent_gid", "left")
+        .select("parent_gid", "_wanted", F.coalesce("_room", zero).cast(MONEY).alias("_room"))
+        .filter("_wanted > _room")
+        .drop("_wanted")
+    )
+    marked = folder.scratch(breakups.join(short, "parent_gid", "left"))
+    result = marked.filter("_room is null").select(*columns)
+    amount = F.abs(net_open())
+    for groups, part in split_by_size(marked.filter("_room is not null"), ["parent_gid"], folder, hot_rows):
+        part = groups.running(groups.prepare(part), ["parent_gid"], amount, "_before")
+        kept = F.greatest(F.least(amount, F.col("_room") - F.col("_before")), zero)
+        value = F.signum(net_open()) * kept + F.col("roundoff_value") * F.col("tran_mult")
+        result = result.unionByName(part.withColumn("excp_value", value.cast(MONEY)).select(*columns))
+    return result
+
+
 def _roll_up(trans: DataFrame, breakups: DataFrame, round_no: int, numbers: Sequence[int]) -> DataFrame:
     """Take what breakup rules matched off the trans that own the breakups."""
     line = F.col("a")
@@ -236,10 +258,11 @@ def run_rules(
     round_no: int = 1,
     hot_rows: int = HOT_ROWS,
     folder: RunFolder | None = None,
+    job_gid: int = 0,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Apply the rules once, in order; return the new state of trans and breakups.
 
-    A tran used up by one rule is out of reach for the next. Steps on the same keys share one
+    A tran used up by one rule is out of reach for the next, and so are its breakups. Steps on the same keys share one
     shuffle. Between stretches on different keys the state is written to the run's folder.
     """
     state = with_state(trans)
@@ -249,9 +272,11 @@ def run_rules(
     stretches = [(k, list(g)) for k, g in groupby(steps, key=lambda s: (s[1].apply_on, s[1].keys))]
     for place, ((apply_on, _), stretch) in enumerate(stretches):
         if apply_on == "T":
-            state = _run_steps(state, stretch, round_no, hot_rows, folder)
+            state = _run_steps(state, stretch, round_no, hot_rows, folder, job_gid)
         elif apply_on == "S" and sub is not None:
-            sub = _run_steps(sub, stretch, round_no, hot_rows, folder)
+            sub = within_parents(sub, state, hot_rows, folder)
+            sub = _run_steps(sub, stretch, round_no, hot_rows, folder, job_gid)
+            sub = folder.scratch(sub)
             state = _roll_up(state, sub, round_no, [n for n, _ in stretch])
         if place + 1 < len(stretches):
             state = folder.table(state, f"round={round_no}/trans-{place}")
@@ -262,31 +287,35 @@ def run_rules(
 
 @dataclass(frozen=True)
 class Stable:
-    """Outcome of a run repeated until nothing changes."""
+    """Outcome of a run; ``converged`` if its last round matched nothing."""
 
     trans: DataFrame
     breakups: DataFrame | None
     rounds: int
     converged: bool
+    refused: DataFrame | None = None
 
 
 def match_until_stable(
     trans: DataFrame,
     rules: Sequence[Rule],
     breakups: DataFrame | None = None,
-    max_rounds: int = 20,
+    max_rounds: int | None = None,
     hot_rows: int = HOT_ROWS,
+    job_gid: int = 0,
 ) -> Stable:
     """Repeat :func:`run_rules` until a round matches nothing, that is, until count and value of
-    the open trans no longer change.
+    the open trans no longer change. Each round but the last matches something, so it comes to an end
+    by itself; ``max_rounds`` may end it sooner.
 
     Each round is written to the shared folder. Closed rows do not go into the next round.
     """
     folder = RunFolder(trans.sparkSession)
     state, sub = trans, breakups
     closed: list[DataFrame] = []
-    for round_no in range(1, max_rounds + 1):
-        state, sub = run_rules(state, rules, sub, round_no, hot_rows, folder)
+    closed_sub: list[DataFrame] = []
+    for round_no in count(1):
+        state, sub = run_rules(state, rules, sub, round_no, hot_rows, folder, job_gid)
         state = folder.table(state, f"round={round_no}/trans")
         new = F.exists("allocs", lambda a: a.getField("round") == round_no)
         changed = not state.filter(new).isEmpty()
@@ -297,8 +326,13 @@ def match_until_stable(
             break
         closed.append(state.filter(~still_open()))
         state = state.filter(still_open())
+        if sub is not None:
+            closed_sub.append(sub.filter(~still_open()))
+            sub = sub.filter(still_open())
     for part in closed:
         state = state.unionByName(part)
+    for part in closed_sub:
+        sub = sub.unionByName(part)
     return Stable(state, sub, round_no, not changed)
 
 
@@ -324,6 +358,13 @@ def _configured(trans: DataFrame, period: Period, fields: Sequence[str]) -> Colu
     return F.when(F.col("recon_date_flag") == "Y", limit).otherwise(F.lit(True))
 
 
+def dated(recons: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Recons that can run, and those limited by a date column that is not one of ``columns``."""
+    known = F.coalesce(F.col("recon_date_field").isin(*columns), F.lit(False))
+    good = known | ~F.col("recon_date_flag").eqNullSafe("Y")
+    return recons.filter(good), recons.filter(~good).select("recon_code", F.lit("date column").alias("reason"))
+
+
 def date_fields(recons: DataFrame) -> list[str]:
     """Date columns the recons name (configuration)."""
     rows = recons.filter("recon_date_flag = 'Y'").select("recon_date_field").distinct().collect()
@@ -356,10 +397,18 @@ def theme_reset(trans: DataFrame, recons: DataFrame, period: Period) -> DataFram
     )
 
 
-def as_breakups(breakups: DataFrame, key_columns: Sequence[str] = ()) -> DataFrame:
-    """Breakup table as matching state: the breakup is the row, its tran the parent."""
+def as_breakups(
+    breakups: DataFrame, key_columns: Sequence[str] = (), trans: DataFrame | None = None
+) -> DataFrame:
+    """Breakup table as matching state: the breakup is the row, its tran the parent. With ``trans``
+    only their breakups, which are of the period (``in_period``) if their parent is."""
     extra = [c for c in key_columns if c in breakups.columns]
-    return live(breakups).select(
+    rows = live(breakups)
+    if trans is not None:
+        flag = F.col("in_period") if "in_period" in trans.columns else F.lit(True)
+        rows = rows.drop("in_period").join(trans.select("tran_gid", flag.alias("in_period")), "tran_gid")
+        extra.append("in_period")
+    return rows.select(
         F.col("tranbrkp_gid").alias("tran_gid"),
         F.col("tran_gid").alias("parent_gid"),
         "recon_code",
@@ -380,18 +429,30 @@ def match(
     commit: bool = True,
     until_stable: bool = False,
     breakup_keys: Sequence[str] = (),
+    job_gid: int = 0,
 ) -> Stable:
     """One run over the eligible recons. ``commit=False`` previews: every rule only proposes, on a
-    working copy that the next rule finds changed; read the proposals with ``ko_lines``."""
-    recons = eligible_recons(ledger, period.as_of_col, codes)
+    working copy that the next rule finds changed; read the proposals with ``ko_lines``. A recon whose
+    date column does not exist is refused, the others run."""
+    recons, refused = dated(eligible_recons(ledger, period.as_of_col, codes), ledger.open.columns)
     rules = load_rules(ledger, period.as_of_col, recons)
     if commit:
         trans = configured_date_filter(live(ledger.open), recons, period, date_fields(recons))
     else:
         trans = preview_state(ledger, recons, period)
         rules = [replace(r, commit=True, probable=False) for r in rules]
-    breakups = as_breakups(ledger.breakup, breakup_keys) if any(r.apply_on == "S" for r in rules) else None
+    needed = any(r.apply_on == "S" for r in rules)
+    breakups = as_breakups(ledger.breakup, breakup_keys, trans) if needed else None
     if until_stable and commit:
-        return match_until_stable(trans, rules, breakups)
-    state, sub = run_rules(trans, rules, breakups)
-    return Stable(state, sub, 1, False)
+        return replace(match_until_stable(trans, rules, breakups, job_gid=job_gid), refused=refused)
+    state, sub = run_rules(trans, rules, breakups, job_gid=job_gid)
+    return Stable(state, sub, 1, False, refused)
+
+
+def probable_preview(ledger: Ledger, period: Period, codes: Sequence[str] | None = None, job_gid: int = 0) -> DataFrame:
+    """KO lines that probable-match rules propose on the open trans as they are now, of any date. Each
+    rule works on its own copy of the open values, which its later passes find changed."""
+    recons = eligible_recons(ledger, period.as_of_col, codes)
+    rules = [r for r in load_rules(ledger, period.as_of_col, recons) if r.probable and r.apply_on == "T"]
+    state, _ = run_rules(probable_state(ledger, recons), rules, job_gid=job_gid)
+    return ko_lines(state, "proposals")

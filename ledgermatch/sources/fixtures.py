@@ -101,22 +101,22 @@ from {fx_base} where kind = 'SPLIT'""",
     "recon_trn_ttran": "select * from {fx_tran} where excp_value <> 0",
     "recon_trn_ttranko": "select * from {fx_tran} where excp_value = 0",
     "recon_trn_tko": """
-select k as ko_gid, recon_code, d as ko_date, case when k % 17 = 0 then 'Y' else 'N' end as manual_matchoff,
+select 2*k as ko_gid, recon_code, d as ko_date, case when k % 17 = 0 then 'Y' else 'N' end as manual_matchoff,
   case when k % 17 = 0 then null
        else recon_code || '-R' || case kind when 'EXACT' then '1' when 'SPLIT' then '2' when 'ROUNDOFF' then '3' else '4' end
   end as rule_code,
   cast(1 as bigint) as job_gid, delete_flag
 from {fx_base} where kind <> 'MISSING'
 union all
-select k + 10000000, recon_code, d, 'Y', null, cast(1 as bigint), delete_flag
+select 2*k + 1, recon_code, d, 'Y', null, cast(1 as bigint), delete_flag
 from {fx_base} where kind = 'PARTIAL' and k % 3 = 0""",
     "recon_trn_tkodtl": """
-select t.tran_gid as kodtl_gid, t.k as ko_gid, t.tran_gid, t.tran_mult as ko_mult,
+select 2*t.tran_gid as kodtl_gid, 2*t.k as ko_gid, t.tran_gid, t.tran_mult as ko_mult,
   case when t.kind = 'PARTIAL' and t.k % 3 = 0 then cast(b.v*0.4 as decimal(15,2))
        else cast(t.tran_value - t.excp_value as decimal(15,2)) end as ko_value, t.delete_flag
 from {fx_tran} t join {fx_base} b on t.k = b.k where t.kind <> 'MISSING'
 union all
-select t.tran_gid + 100000000, t.k + 10000000, t.tran_gid, t.tran_mult,
+select 2*t.tran_gid + 1, 2*t.k + 1, t.tran_gid, t.tran_mult,
   cast(cast(b.v*0.6 as decimal(15,2)) - cast(b.v*0.4 as decimal(15,2)) as decimal(15,2)), t.delete_flag
 from {fx_tran} t join {fx_base} b on t.k = b.k where t.kind = 'PARTIAL' and t.k % 3 = 0""",
     "recon_trn_ttranbrkp": """
@@ -155,6 +155,17 @@ select parent_gid as tran_gid, recon_code, dataset_code, ref_no, tran_date, tran
   cast(sum(tran_value) as decimal(15,2)) as tran_value, cast(sum(tran_value) as decimal(15,2)) as excp_value,
   cast(0 as decimal(15,2)) as roundoff_value
 from {fx_mtm_feed} group by parent_gid, recon_code, dataset_code, ref_no, tran_date, tran_acc_mode, tran_mult""",
+    # The ledger before a run, and values in steps of a cent on alternating sides.
+    "fx_open": """
+select recon_code, k, kind, tran_gid, 'REF' || cast(k as varchar(12)) as ref_no, dataset_code, tran_date, tran_acc_mode, tran_mult,
+  tran_value, tran_value as excp_value, cast(0 as decimal(15,2)) as roundoff_value, scheduler_gid, theme_code, delete_flag
+from {fx_tran}""",
+    "fx_chain": """
+select 10*k as tran_gid, recon_code, case when place % 2 = 1 then 'GL' else 'BNK' end as dataset_code,
+  'CH' || cast(n - place as varchar(12)) as ref_no, d as tran_date, case when place % 2 = 1 then 'D' else 'C' end as tran_acc_mode,
+  case when place % 2 = 1 then -1 else 1 end as tran_mult, cast(1 + place * 0.01 as decimal(15,2)) as tran_value,
+  cast(1 + place * 0.01 as decimal(15,2)) as excp_value, cast(0 as decimal(15,2)) as roundoff_value, place
+from (select b.*, 1 + (n - 1) % 12 as place from (select x.*, row_number() over (partition by recon_code order by k) as n from {fx_base} x) b) c""",
     "fx_messy": """
 select tran_gid, case tran_gid % 3 when 0 then '  ' || lower(ref_no) || ' ' when 1 then '000' || ref_no else ref_no end as ref_no
 from {fx_feed}""",

@@ -3,7 +3,8 @@
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
+from verification.oracle import ORACLE
+from verification.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer orders lineitem".split()
@@ -18,19 +19,19 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_oracles_use_no_cross_join():
-    for sql in entry.oracle_sql().values():
+    for sql in ORACLE.values():
         assert "cross join" not in sql.lower()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    got = entry.queries()[name](spark, SF_DIR)
+    got = QUERIES[name](spark, SF_DIR)
     columns = sorted(got.columns)
-    want = duck.execute(entry.oracle_sql()[name])
+    want = duck.execute(ORACLE[name])
     assert sorted(d[0] for d in want.description) == columns
     place = {d[0]: i for i, d in enumerate(want.description)}
     expected = [tuple(str(row[place[c]]) for c in columns) for row in want.fetchall()]

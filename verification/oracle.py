@@ -296,7 +296,7 @@ from {ranked} a join {ranked} b on a.recon_code = b.recon_code and a.ref_no = b.
     "lone": """
 select * from (
   select *, row_number() over (partition by recon_code, ref_no, tran_value, dataset_code order by tran_date, tran_gid) as rest
-  from {fx_mtm_feed} where tran_gid not in (select gl from {pairs}) and tran_gid not in (select bnk from {pairs}))""",
+  from {fx_mtm_feed} f anti join (select gl as paired from {pairs} union all select bnk from {pairs}) p on f.tran_gid = p.paired)""",
     # Nearest amount of the other side, by trying all of them.
     "nearest": """
 select recon_code, ref_no, dataset_code, v, w from (
@@ -489,6 +489,38 @@ from {fx_parent} p left join (
   select f.parent_gid, sum(f.tran_value) as taken from {fx_mtm_feed} f
   where f.tran_gid in (select gl from {pairs}) or f.tran_gid in (select bnk from {pairs}) group by f.parent_gid) x
   on p.tran_gid = x.parent_gid""",
+    "match_breakup_after_tran": """
+select p.recon_code, p.tran_gid, p.tran_value,
+  cast(case when e.tran_gid is not null then 0 else p.tran_value - coalesce(x.taken, 0) end as decimal(15,2)) as excp_value
+from {fx_parent} p
+left join (select a.tran_gid from {fx_parent} a join {fx_parent} b on a.recon_code = b.recon_code and a.ref_no = b.ref_no
+  and a.tran_value = b.tran_value and a.dataset_code <> b.dataset_code) e on p.tran_gid = e.tran_gid
+left join (select f.parent_gid, sum(f.tran_value) as taken from {fx_mtm_feed} f
+  join (select gl as paired from {pairs} union all select bnk from {pairs}) q on f.tran_gid = q.paired group by f.parent_gid) x
+  on p.tran_gid = x.parent_gid""",
+    "match_tran_after_breakup": f"""
+select recon_code, tran_gid, {money("tran_value")} as whole, false as below_zero from {{fx_parent}}""",
+    "match_mtm_partial_otm": """
+select f.recon_code, f.tran_gid, cast(f.tran_value - greatest(least(greatest(least(k.sg, k.sb) - (sum(f.tran_value) over (
+    partition by f.recon_code, f.ref_no, f.dataset_code order by f.tran_date, f.tran_gid) - f.tran_value), 0), f.tran_value), 0)
+  as decimal(15,2)) as excp_value
+from {fx_mtm_feed} f join {key_sums} k on f.recon_code = k.recon_code and f.ref_no = k.ref_no""",
+    "match_fixpoint_chain": """
+select recon_code, tran_gid,
+  cast(case when place % 2 = 0 then 0.01 when last_place = place then tran_value else 0 end as decimal(15,2)) as excp_value,
+  cast(case when place % 2 = 0 then 0.01 else 0 end as decimal(15,2)) as roundoff_value
+from (select *, max(place) over (partition by recon_code, ref_no) as last_place from {fx_chain})""",
+    "match_reversals": """
+select f.recon_code, f.tran_gid, cast(-f.tran_value as decimal(15,2)) as tran_value,
+  cast(case when a.kind = 'EXACT' then 0 else -f.tran_value end as decimal(15,2)) as excp_value
+from {fx_feed} f join {answer} a on f.tran_gid = a.tran_gid""",
+    "proposals_within_a_rule": f"""
+select recon_code, tran_gid, {money("case when dataset_code = 'GL' then least(tran_value, other) else tran_value end")} as proposed
+from (select f.*, sum(case when dataset_code = 'BNK' then tran_value else 0 end) over (partition by recon_code, ref_no) as other
+  from {{fx_feed}} f) where other > 0""",
+    "ko_headers_two_runs": """
+select recon_code, rule_code, cast(2 * count(distinct tran_gid // 4) as bigint) as ko_count, cast(2 * count(*) as bigint) as line_count
+from {answer} where kind <> 'MISSING' group by recon_code, rule_code""",
     "match_rules_in_order": "select recon_code, tran_gid, tran_value, excp_value, roundoff_value from {answer}",
     "match_fixpoint": "select recon_code, tran_gid, rule_code, ko_value, ko_mult, roundoff_value from {preview}",
     "state_split": """
@@ -525,6 +557,25 @@ from {{scope}} s left join (select recon_code, sum(tran_value * tran_mult) as ba
 select t.recon_code, t.tran_gid, case when s.recon_code is not null and t.delete_flag = 'N' and t.tran_date between {START} and {END}
   then '' else t.theme_code end as theme_code
 from {{recon_trn_ttran}} t left join {{scope}} s on t.recon_code = s.recon_code""",
+    "theme_reset_breakups": f"""
+select t.recon_code, t.tranbrkp_gid, case when s.recon_code is not null and t.delete_flag = 'N' and t.tran_date between {START} and {END}
+  then '' else t.theme_code end as theme_code
+from {{recon_trn_ttranbrkp}} t left join {{scope}} s on t.recon_code = s.recon_code""",
+    "run_refused": f"""
+select s.recon_code, 'not tallied' as reason from {{scope}} s join (select recon_code, sum(tran_value * tran_mult) as balance from {{fx_tran}}
+  where delete_flag = 'N' and tran_date <= {END} group by recon_code) x on s.recon_code = x.recon_code
+where s.recontype_code in ('W', 'B') and x.balance <> 0""",
+    "run_outcome": f"""
+select a.recon_code, a.tran_gid, a.tran_value,
+  case when a.tran_date between {START} and {END} then a.excp_value else a.tran_value end as excp_value,
+  case when a.tran_date between {START} and {END} then '' else 'OLD' end as theme_code
+from {{answer}} a join {{scope}} s on a.recon_code = s.recon_code where s.recontype_code not in ('W', 'B')""",
+    "committed_tables": f"""
+select recon_code, tran_gid, excp_value, case when excp_value = 0 then 'matched' else 'open' end as place,
+  {money("case when excp_value <> tran_value then tran_value - excp_value end")} as ko_value
+from (select t.recon_code, t.tran_gid, t.tran_value, case when s.recontype_code not in ('W', 'B') and t.delete_flag = 'N'
+    and t.tran_date between {START} and {END} then a.excp_value else t.tran_value end as excp_value
+  from {{fx_open}} t left join {{scope}} s on t.recon_code = s.recon_code left join {{answer}} a on t.tran_gid = a.tran_gid)""",
     "theme_tag": f"""
 select t.recon_code, t.tran_gid, case when not {NET} then t.theme_code when t.excp_value < t.tran_value then 'PARTLY'
   when t.excp_value >= 300000 then 'LARGE' when date_diff('day', t.tran_date, {AS_OF}) > 365 then 'AGED' else t.theme_code

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from dataclasses import replace
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from ledgermatch.operators.state import ko_headers, ko_lines, state_fingerprint,
 from ledgermatch.params import Period
 from ledgermatch.plans import dashboard as db
 from ledgermatch.plans import matching as mt
+from ledgermatch.plans import recon as rc
 from ledgermatch.plans import runs as rn
 from ledgermatch.plans import summary as sm
 from ledgermatch.plans import values as vl
@@ -25,7 +27,6 @@ from ledgermatch.sources.fixtures import Fixtures
 
 PERIOD = Period(dt.date(1997, 1, 1), dt.date(1997, 12, 31), dt.date(1998, 1, 1))
 UNIT = "L"
-RECONS = ("RC0", "RC1", "RC2", "RC3", "RC4")
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -295,8 +296,10 @@ def summ_dispatch(c: Case) -> DataFrame:
 # --- matching ----------------------------------------------------------------------------------
 
 
-def _rules(**shape) -> list[mt.Rule]:
-    return [mt.Rule(f"{r}-M", r, source="GL", comparison="BNK", **shape) for r in RECONS]
+def _rules(c: Case, suffix: str = "M", **shape) -> list[mt.Rule]:
+    """A rule of one shape for each recon there is."""
+    codes = [r[0] for r in c.ledger.recon.select("recon_code").distinct().collect()]
+    return [mt.Rule(f"{r}-{suffix}", r, source="GL", comparison="BNK", **shape) for r in sorted(codes)]
 
 
 def _headers(trans: DataFrame, rules: list[mt.Rule]) -> DataFrame:
@@ -307,42 +310,95 @@ def _headers(trans: DataFrame, rules: list[mt.Rule]) -> DataFrame:
 
 @query
 def match_one_to_one(c: Case) -> DataFrame:
-    return _headers(c.fx["fx_mtm_feed"], _rules(group_flag="OTO"))
+    return _headers(c.fx["fx_mtm_feed"], _rules(c, group_flag="OTO"))
 
 
 @query
 def match_one_to_one_tolerance(c: Case) -> DataFrame:
-    return _headers(c.fx["fx_mtm_feed"], _rules(group_flag="OTO", tolerance=Decimal("2500.00")))
+    return _headers(c.fx["fx_mtm_feed"], _rules(c, group_flag="OTO", tolerance=Decimal("2500.00")))
 
 
 @query
 def match_one_to_many(c: Case) -> DataFrame:
-    return _headers(c.fx["fx_mtm_feed"], _rules(group_flag="OTM"))
+    return _headers(c.fx["fx_mtm_feed"], _rules(c, group_flag="OTM"))
 
 
 @query
 def match_many_to_many(c: Case) -> DataFrame:
-    state, _ = mt.run_rules(c.fx["fx_mtm_feed"], _rules(group_flag="MTM"))
+    state, _ = mt.run_rules(c.fx["fx_mtm_feed"], _rules(c, group_flag="MTM"))
     return ko_headers(ko_lines(state).filter("step = 1")).drop("ko_gid")
 
 
 @query
 def match_mtm_then_otm(c: Case) -> DataFrame:
-    return _headers(c.fx["fx_mtm_feed"], _rules(group_flag="MTM"))
+    return _headers(c.fx["fx_mtm_feed"], _rules(c, group_flag="MTM"))
 
 
 @query
 def match_partial(c: Case) -> DataFrame:
-    state, _ = mt.run_rules(c.fx["fx_mtm_feed"], _rules(group_flag="", partial=True))
+    state, _ = mt.run_rules(c.fx["fx_mtm_feed"], _rules(c, group_flag="", partial=True))
     return ko_lines(state).select("recon_code", "tran_gid", "ko_value", "ko_mult")
 
 
 @query
 def match_breakup(c: Case) -> DataFrame:
-    trans, _ = mt.run_rules(c.fx["fx_parent"], _rules(group_flag="OTO", apply_on="S"), c.fx["fx_mtm_feed"])
+    trans, _ = mt.run_rules(c.fx["fx_parent"], _rules(c, group_flag="OTO", apply_on="S"), c.fx["fx_mtm_feed"])
     return trans.select("recon_code", "tran_gid", "tran_value", "excp_value")
 
 
+@query
+def match_breakup_after_tran(c: Case) -> DataFrame:
+    rules = _rules(c, "T", order=Decimal(1)) + _rules(c, "S", order=Decimal(2), apply_on="S")
+    trans, _ = mt.run_rules(c.fx["fx_parent"], rules, c.fx["fx_mtm_feed"])
+    return trans.select("recon_code", "tran_gid", "tran_value", "excp_value")
+
+
+@query
+def match_tran_after_breakup(c: Case) -> DataFrame:
+    rules = _rules(c, "S", order=Decimal(1), apply_on="S") + _rules(c, "T", order=Decimal(2), group_flag="", partial=True)
+    trans, breakups = mt.run_rules(c.fx["fx_parent"], rules, c.fx["fx_mtm_feed"])
+    taken = ko_lines(breakups).groupBy("parent_gid").agg(F.sum("ko_value").alias("below"))
+    own = ko_lines(trans).groupBy("tran_gid").agg(F.sum("ko_value").alias("own"))
+    joined = trans.join(own, "tran_gid", "left").join(taken, F.col("tran_gid") == F.col("parent_gid"), "left")
+    whole = F.col("excp_value") + F.coalesce("own", F.lit(0)) + F.coalesce("below", F.lit(0))
+    return joined.select("recon_code", "tran_gid", whole.cast(TOTAL).alias("whole"), (F.col("excp_value") < 0).alias("below_zero"))
+
+
+@query
+def match_mtm_partial_otm(c: Case) -> DataFrame:
+    state, _ = mt.run_rules(c.fx["fx_mtm_feed"], _rules(c, group_flag="MTM", partial=True))
+    return state.select("recon_code", "tran_gid", "excp_value")
+
+
+@query
+def match_fixpoint_chain(c: Case) -> DataFrame:
+    stable = mt.match_until_stable(c.fx["fx_chain"], _rules(c, tolerance=Decimal("0.01")))
+    return stable.trans.select("recon_code", "tran_gid", "excp_value", "roundoff_value")
+
+
+@query
+def match_reversals(c: Case) -> DataFrame:
+    feed = c.fx["fx_feed"].withColumns({v: (-F.col(v)).cast("decimal(15,2)") for v in ("tran_value", "excp_value")})
+    state, _ = mt.run_rules(feed, _rules(c, group_flag="OTO"))
+    return state.select("recon_code", "tran_gid", "tran_value", "excp_value")
+
+
+@query
+def proposals_within_a_rule(c: Case) -> DataFrame:
+    state, _ = mt.run_rules(c.fx["fx_feed"], _rules(c, group_flag="OTO", partial=True, commit=False, probable=True))
+    lines = ko_lines(state, "proposals")
+    return lines.groupBy("recon_code", "tran_gid").agg(F.sum("ko_value").cast(TOTAL).alias("proposed"))
+
+
+@query
+def ko_headers_two_runs(c: Case) -> DataFrame:
+    runs = [mt.run_rules(c.fx["fx_feed"], c.rules(), job_gid=j)[0] for j in (1, 2)]
+    lines = ko_lines(runs[0]).unionByName(ko_lines(runs[1]))
+    return lines.groupBy("recon_code", "rule_code").agg(
+        F.countDistinct("ko_gid").alias("ko_count"), F.count(F.lit(1)).alias("line_count")
+    )
+
+
 @query
 def match_rules_in_order(c: Case) -> DataFrame:
     return c.matched().select("recon_code", "tran_gid", "tran_value", "excp_value", "roundoff_value")
@@ -430,3 +486,34 @@ def theme_tag(c: Case) -> DataFrame:
         ("AGED", F.datediff(PERIOD.as_of_col, "tran_date") > 365),
     ]
     return rn.theme_tag(p.live(c.ledger.open), themes).select("recon_code", "tran_gid", "theme_code")
+
+
+def _before_run(c: Case) -> rc.Ledger:
+    none = {"matched": c.fx["fx_open"].limit(0), "ko": c.ledger.ko.limit(0), "ko_line": c.ledger.ko_line.limit(0)}
+    return replace(c.ledger, open=c.fx["fx_open"], **none)
+
+
+@query
+def run_refused(c: Case) -> DataFrame:
+    return rc.refusals(_before_run(c), PERIOD)
+
+
+@query
+def run_outcome(c: Case) -> DataFrame:
+    report = rc.run_recon(_before_run(c), PERIOD, job_gid=7, until_stable=True)
+    return report.outcome.trans.select("recon_code", "tran_gid", "tran_value", "excp_value", "theme_code")
+
+
+@query
+def committed_tables(c: Case) -> DataFrame:
+    after = rc.run_recon(_before_run(c), PERIOD, job_gid=7).ledger
+    still = after.open.select("recon_code", "tran_gid", "excp_value", F.lit("open").alias("place"))
+    gone = after.matched.select("recon_code", "tran_gid", "excp_value", F.lit("matched").alias("place"))
+    kos = after.ko_line.groupBy("tran_gid").agg(F.sum("ko_value").cast(TOTAL).alias("ko_value"))
+    return still.unionByName(gone).join(kos, "tran_gid", "left")
+
+
+@query
+def theme_reset_breakups(c: Case) -> DataFrame:
+    recons = sc.eligible_recons(c.ledger, c.as_of)
+    return mt.theme_reset(c.ledger.breakup, recons, PERIOD).select("recon_code", "tranbrkp_gid", "theme_code")
