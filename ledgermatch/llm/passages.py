@@ -8,8 +8,8 @@ occur twice or more, in all texts, are joined; all their occurrences but the fir
 and covered sentences are removed.
 
 The first pass counts 64-bit hashes only. Occurrences, with 128-bit hashes, are moved for runs whose
-short hash repeats. Counts and firsts are partial aggregates and are joined back, so that a run found
-in a third of all documents is a skewed join, which Spark splits.
+short hash repeats. Counts and firsts are partial aggregates; they are written and joined back as
+tables, so that a run found in a third of all documents is a plain skewed join, which Spark splits.
 """
 
 from __future__ import annotations
@@ -84,7 +84,7 @@ def remove_repeats(
         return {"h1": pa.array(h.view(np.int64)), "n": pa.array(n.astype(np.int64))}
 
     counted = map_rows(given.select("text"), hashes, "h1 bigint, n bigint")
-    again = counted.groupBy("h1").agg(F.sum("n").alias("n")).where("n > 1").select("h1")
+    again = folder.scratch(counted.groupBy("h1").agg(F.sum("n").alias("n")).where("n > 1").select("h1"))
 
     def occurrences(batch: pa.RecordBatch) -> dict[str, object]:
         out: list[list[np.ndarray]] = [[] for _ in range(4)]
@@ -104,7 +104,8 @@ def remove_repeats(
     found = folder.scratch(map_rows(given, occurrences, schema).join(again, "h1", "left_semi"))
     at = F.struct(F.col("doc_id").isNull(), "doc_id", "name", "place")
     firsts = found.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = found.join(firsts.select("h1", "h2", "first"), ["h1", "h2"]).where(~at.eqNullSafe(F.col("first")))
+    firsts = folder.scratch(firsts.drop("n"))
+    later = found.join(firsts, ["h1", "h2"]).where(~at.eqNullSafe(F.col("first")))
     gone = later.groupBy("doc_id", "name").agg(F.collect_set("place").alias("places"))
 
     def named(batch: pa.RecordBatch) -> dict[str, object]:
