@@ -39,6 +39,15 @@ def word_features(data: bytes) -> np.ndarray:
     return np.unique(np.concatenate([_ids(h, k + 8) for k, h in enumerate(kinds)]))
 
 
+def low_hashes(df: DataFrame, key: Column, size: int) -> DataFrame:
+    """The rows of ``df`` with the lowest hashes ``key``, about twice ``size``: what a following
+    ``orderBy(key).limit(size)`` has to gather then doesn't grow with the number of tasks."""
+    rows = df.count()
+    if rows <= 4 * size:
+        return df
+    return df.where(key < int((2 * size / rows) * 2.0**64) - (1 << 63))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], make, size: int = SAMPLE):
     """Labels and features of at most ``size`` labelled documents: those first by hash of their id, so
     any labels that the caller leaves in have the same chance. The labels of the sample, at most
@@ -48,7 +57,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], make
     """
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*(F.max(c).alias(c) for c in columns))
     known = known.dropna(subset=columns)
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
+    order = F.xxhash64("doc_id")
+    chosen = low_hashes(known, order, size).orderBy(order, "doc_id").limit(size)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     kinds = dict(rows.dtypes)
 

@@ -23,6 +23,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgermatch.llm.features import low_hashes
+from ledgermatch.sources.rounds import RunFolder
+
 # Fixed values of the formats.
 FRAME = b"\x28\xb5\x2f\xfd"
 DICTIONARY_FRAME = b"\x5d\x2a\x4d\x18"
@@ -77,8 +80,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, first: int | No
 
 def train_dictionary(pages: DataFrame, text: str = "html") -> bytes | None:
     """From a bounded sample of pages, by hash; None if there are too few to train on."""
-    some = pages.where(F.octet_length(text) > 0).orderBy(F.xxhash64(text)).limit(SAMPLE_PAGES)
-    data = [r[0].encode() for r in some.select(F.substring(text, 1, SAMPLE_BYTES)).collect()]
+    some = pages.where(F.octet_length(text) > 0).select(F.xxhash64(text).alias("h"), F.col(text).alias("s"))
+    some = low_hashes(some, F.col("h"), SAMPLE_PAGES).select("h", F.substring("s", 1, SAMPLE_BYTES).alias("s"))
+    some = some.groupBy("h").agg(F.min("s").alias("s")).orderBy("h").limit(SAMPLE_PAGES)
+    data = [r.s.encode() for r in some.collect()]
     samples = [record(k, None, x, None) for k, x in enumerate(data)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if samples else None
@@ -101,7 +106,10 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, dictionary: byte
         .groupBy("digest")
         .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
         .where("n > 1")
+        .drop("n")
     )
+    # A table of its own: the join is then a plain one, of which Spark splits a payload with very many rows.
+    shared = RunFolder(pages.sparkSession).scratch(shared)
     first = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     rows = rows.join(shared, "digest", "left").select("page_id", "url", "html", first.alias("first"))
 
