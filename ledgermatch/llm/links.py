@@ -13,8 +13,8 @@ def components(edges: DataFrame, folder: RunFolder) -> DataFrame:
     any order, repeats and loops allowed; nodes that only have loops are left out).
 
     Alternating large-star and small-star steps until every node points to its root. Each step takes
-    minima by partial aggregation and joins them back, so that a node with very many neighbours is a
-    skewed join, which Spark splits, and never one group. Each round is a written table.
+    minima by partial aggregation, writes them and joins them back, so that a node with very many
+    neighbours is a plain skewed join, which Spark splits, and never one group.
     """
     pairs = edges.where("a <> b").select(
         F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")
@@ -23,7 +23,7 @@ def components(edges: DataFrame, folder: RunFolder) -> DataFrame:
     before = None
     while (now := _signature(stars)) != before:
         before = now
-        stars = folder.scratch(_small_star(_large_star(stars)))
+        stars = _small_star(_large_star(stars, folder), folder)
     return stars.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
 
 
@@ -31,16 +31,17 @@ def _signature(stars: DataFrame) -> tuple:
     return tuple(stars.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first())
 
 
-def _large_star(stars: DataFrame) -> DataFrame:
+def _large_star(stars: DataFrame, folder: RunFolder) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest node of its neighbourhood."""
     both = stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(stars.select("lo", "hi"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+    joined = both.where("v > u").join(folder.scratch(least), "u")
+    return folder.scratch(joined.select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
 
 
-def _small_star(stars: DataFrame) -> DataFrame:
+def _small_star(stars: DataFrame, folder: RunFolder) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them."""
-    least = stars.groupBy("hi").agg(F.min("lo").alias("m"))
+    least = folder.scratch(stars.groupBy("hi").agg(F.min("lo").alias("m")))
     joined = stars.join(least, "hi")
     moved = joined.where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-    return moved.union(least.select("hi", F.col("m").alias("lo"))).distinct()
+    return folder.scratch(moved.union(least.select("hi", F.col("m").alias("lo"))).distinct())

@@ -167,7 +167,7 @@ def linked(codes: DataFrame, folder: RunFolder, distance: int = DISTANCE) -> Dat
     # A root may have twice the rows of a mean task before it is dealt out.
     tasks = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunk = min(1 << 18, max(1 << 10, 4 * codes.count() // tasks))
-    hot = rows.groupBy("turn", "root").count().where(F.col("count") > chunk)
+    hot = folder.scratch(rows.groupBy("turn", "root").count().where(F.col("count") > chunk))
     chunks = F.coalesce(F.ceil(F.col("count") / chunk), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("code"), F.col("chunks")).cast("int")
     dealt = (
@@ -235,7 +235,7 @@ def near_duplicates(
     roots = folder.scratch(_roots_of(rows, folder, distance))
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     ids = least.join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-    named = roots.join(ids, "root").select("fp", "component_id")
+    named = roots.join(folder.scratch(ids), "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

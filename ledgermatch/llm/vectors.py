@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgermatch.llm.features import low_hashes
 from ledgermatch.llm.links import components
 from ledgermatch.llm.simhash import unite
 from ledgermatch.llm.textscan import map_rows
@@ -201,10 +202,10 @@ def near_duplicates(
     joined = classes.join(roots, F.col("node") == F.col("of"), "left").select(
         "node", "n", "least", F.coalesce("root", "node").alias("root")
     )
-    ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = folder.scratch(joined.groupBy("root").agg(F.min("least").alias("component_id")))
     known = joined.join(ids, "root").join(links, "node", "left")
     known = known.select("node", "component_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = named.select("vec_id", "node").join(known, "node", "left")
+    out = named.select("vec_id", "node").join(folder.scratch(known), "node", "left")
     component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")
@@ -214,7 +215,8 @@ def near_duplicates(
 def _meetings(classes: DataFrame, folder: RunFolder, least: float, recall: float, sample: int) -> DataFrame:
     """node, links and edges node - to of all blocks, for classes of one length."""
     spark = classes.sparkSession
-    some = classes.select("node", "x").orderBy(F.xxhash64("node"), "node").limit(sample).select("x").toArrow()
+    order = F.xxhash64("node")
+    some = low_hashes(classes.select("node", "x"), order, sample).orderBy(order, "node").limit(sample).toArrow()
     fitted = np.array(some["x"].to_pylist(), np.float64)
     size = min(MOST_WORDS, max(1, round((classes.count() / CELL) ** 0.5)))
     index = spark.sparkContext.broadcast(MultiIndex(fitted, size, least, recall))
