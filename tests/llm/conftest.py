@@ -16,7 +16,7 @@ def docs(spark):
     """A maker of document tables, with columns whose names operators use themselves."""
 
     def make(rows, partitions=3):
-        full = [(i, text, *(more or ("s",)), "k", 1, 2) for i, text, *more in rows]
+        full = [(i, text, (more or ["s"])[0], "k", 1, 2) for i, text, *more in rows]
         return spark.createDataFrame(full, DOCS).repartition(partitions)
 
     return make
