@@ -4,7 +4,7 @@ The test ledger is derived from the driver's tables and written out first, as a
 stored; ``prepare`` is the time that takes, and is not part of ``value``.
 
 ``BENCH_SF_DIR`` (default sf0.1), ``BENCH_CPUS`` (default 8) and ``BENCH_RUNS`` (timed runs per
-query after one warm-up, the median counts; default 1) set what is run.
+query after one warm-up, the median counts; default 3) set what is run.
 """
 
 from __future__ import annotations
@@ -62,7 +62,7 @@ def seconds(spark: SparkSession, name: str, sf_dir: str) -> float:
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = session(os.environ.get("BENCH_CPUS", "8"))
     start = time.perf_counter()
     Fixtures.store(spark, sf_dir, tempfile.mkdtemp(prefix="ledgermatch-bench-"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from decimal import Decimal
+from functools import reduce
 from itertools import count, groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -106,6 +107,18 @@ def load_rules(ledger: Ledger, as_of: Column, recons: DataFrame | None = None) -
     ]
 
 
+def key_classes(rules: Sequence[Rule]) -> list[list[Rule]]:
+    """Rules by recons that go through the same sequence of match keys. Recons do not depend on each
+    other, so each class runs on its own rows and changes keys only where its own rules do."""
+    ordered = sorted(rules, key=lambda r: (r.recon_code, r.order, r.rule_code))
+    classes: dict[tuple, list[Rule]] = {}
+    for _, own in groupby(ordered, key=lambda r: r.recon_code):
+        members = list(own)
+        sequence = tuple(k for k, _ in groupby((r.apply_on, r.keys) for r in members))
+        classes.setdefault(sequence, []).extend(members)
+    return [classes[k] for k in sorted(classes)]
+
+
 def plan_steps(rules: Sequence[Rule]) -> list[Step]:
     """Rules in order as steps. Recons do not depend on each other, so rules of several recons
     share a step if they stand at the same place and agree in everything but their parameters."""
@@ -268,6 +281,34 @@ def run_rules(
     state = with_state(trans)
     sub = with_state(breakups) if breakups is not None else None
     folder = folder or RunFolder(state.sparkSession)
+    classes = key_classes(rules)
+    if len(classes) < 2:
+        return _run_class(state, sub, rules, round_no, hot_rows, folder, job_gid)
+    # Several classes read the state; it is written once, and each then writes its own rows only.
+    state = folder.scratch(state)
+    sub = folder.scratch(sub) if sub is not None else None
+    done = [F.col("recon_code").isin(sorted({r.recon_code for r in own})) for own in classes]
+    rest = F.coalesce(~reduce(Column.__or__, done), F.lit(True))
+    trans_parts, sub_parts = [state.filter(rest)], [sub.filter(rest)] if sub is not None else []
+    for own, mine in zip(classes, done, strict=True):
+        below = sub.filter(mine) if sub is not None else None
+        part, below = _run_class(state.filter(mine), below, own, round_no, hot_rows, folder, job_gid)
+        trans_parts.append(part)
+        sub_parts += [below] if below is not None else []
+    together = reduce(DataFrame.unionByName, trans_parts)
+    return together, reduce(DataFrame.unionByName, sub_parts) if sub_parts else None
+
+
+def _run_class(
+    state: DataFrame,
+    sub: DataFrame | None,
+    rules: Sequence[Rule],
+    round_no: int,
+    hot_rows: int,
+    folder: RunFolder,
+    job_gid: int,
+) -> tuple[DataFrame, DataFrame | None]:
+    """The rules of recons with the same sequence of keys, stretch by stretch."""
     steps = list(enumerate(plan_steps(rules), start=1))
     stretches = [(k, list(g)) for k, g in groupby(steps, key=lambda s: (s[1].apply_on, s[1].keys))]
     for place, ((apply_on, _), stretch) in enumerate(stretches):
@@ -279,9 +320,7 @@ def run_rules(
             sub = folder.scratch(sub)
             state = _roll_up(state, sub, round_no, [n for n, _ in stretch])
         if place + 1 < len(stretches):
-            state = folder.table(state, f"round={round_no}/trans-{place}")
-            if apply_on == "S" and sub is not None:
-                sub = folder.table(sub, f"round={round_no}/breakups-{place}")
+            state = folder.scratch(state)
     return state, sub
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgermatch.operators.state import ko_headers, ko_lines, ko_tables, state_split
-from ledgermatch.plans.matching import Rule, match_until_stable, plan_steps, run_rules
+from ledgermatch.plans.matching import Rule, key_classes, match_until_stable, plan_steps, run_rules
 
 SCHEMA = (
     "tran_gid long, recon_code string, dataset_code string, ref_no string, tran_date date, tran_acc_mode string,"
@@ -218,3 +218,111 @@ def test_exact_pairs_against_brute_force(spark):
         for a, b in zip(sorted(s["A"]), sorted(s["B"]), strict=False)
     )
     assert kos(run(spark, rows, rule())) == want
+
+
+def with_breakups(spark):
+    """Two parents of 9.00 with breakups of 4.00 and 5.00 each."""
+    parents = trans(spark, [(100, "A", "k", 9), (200, "B", "k", 9)])
+    subs = trans(spark, [(1, "A", "k", 4), (2, "A", "m", 5), (3, "B", "k", 4), (4, "B", "n", 5)])
+    return parents, subs.withColumn("parent_gid", F.when(F.col("dataset_code") == "A", 100).otherwise(200).cast("long"))
+
+
+def on_trans(**kw):
+    return rule(rule_code="T1", **kw)
+
+
+def on_breakups(**kw):
+    return rule(rule_code="S1", apply_on="S", **kw)
+
+
+def test_breakups_of_closed_parents_do_not_match(spark):
+    state, sub = run_rules(with_breakups(spark)[0], [on_trans(order=D(1)), on_breakups(order=D(2))], with_breakups(spark)[1])
+    assert set(left_over(state).values()) == {D("0.00")} == set(left_over(sub).values())
+    assert ko_lines(sub).count() == 0
+
+
+def test_trans_are_matched_for_what_their_breakups_left(spark):
+    rules = [on_breakups(order=D(1)), on_trans(order=D(2))]
+    state, sub = run_rules(with_breakups(spark)[0], rules, with_breakups(spark)[1])
+    assert set(left_over(state).values()) == {D("0.00")}
+    assert sum(r.ko_value for r in ko_lines(state).collect()) == 10
+    assert sum(r.ko_value for r in ko_lines(sub).collect()) == 8
+
+
+@pytest.mark.parametrize("hot_rows", [1_000_000, 3])
+def test_partly_matched_parents_leave_their_first_breakups(spark, hot_rows):
+    parents = trans(spark, [(100, "A", "k", 20), (200, "B", "k", 6), (300, "B", "z", 20)])
+    subs = trans(spark, [(i, "A", "k", 4, i) for i in range(1, 6)] + [(20 + i, "B", "k", 4, i) for i in range(1, 6)])
+    subs = subs.withColumn("parent_gid", F.when(F.col("dataset_code") == "A", 100).otherwise(300).cast("long"))
+    rules = [rule(rule_code="T1", order=D(1), group_flag="", partial=True), on_breakups(order=D(2), group_flag="", partial=True)]
+    state, sub = run_rules(parents, rules, subs, hot_rows=hot_rows)
+    assert left_over(state) == {100: D("0.00"), 200: D("0.00"), 300: D("6.00")}
+    assert sum(r.ko_value for r in ko_lines(sub).collect()) == 28
+    stable = match_until_stable(parents, rules, subs, hot_rows=hot_rows)
+    assert stable.converged and left_over(stable.trans) == left_over(state)
+
+
+def test_breakups_keep_their_value_over_rounds(spark):
+    parents, subs = with_breakups(spark)
+    stable = match_until_stable(parents, [on_breakups(order=D(1)), on_trans(order=D(2))], subs)
+    taken = defaultdict(D)
+    for r in ko_lines(stable.breakups).collect():
+        taken[r.parent_gid] += r.ko_value
+    for r in ko_lines(stable.trans).collect():
+        taken[r.tran_gid] += r.ko_value
+    assert dict(taken) == {100: D("9.00"), 200: D("9.00")} and stable.breakups.count() == 4
+
+
+def test_long_chains_are_matched_to_their_end(spark):
+    rows = [(k, "AB"[k % 2], "k", D("1.00") + D(k) / 100) for k in range(1, 51)]
+    stable = match_until_stable(trans(spark, rows), [rule(tolerance=D("0.01"))])
+    assert stable.converged and stable.rounds > 20
+    assert kos(stable.trans) == [[k, k + 1] for k in range(1, 51, 2)]
+
+
+def test_jobs_give_different_ids(spark):
+    rows = [(1, "A", "k", 5), (2, "B", "k", 5)]
+    first, again, other = (run(spark, rows, rule(), job_gid=j) for j in (1, 1, 2))
+    ids = [{r.ko_gid for r in ko_lines(s).collect()} for s in (first, again, other)]
+    assert ids[0] == ids[1] != ids[2]
+
+
+def test_proposals_use_up_what_they_take(spark):
+    rows = [(1, "A", "k", 5), (2, "B", "k", 5), (3, "A", "k", 8), (4, "B", "k", 6)]
+    rules = [rule(commit=False, partial=True), rule(rule_code="R2", order=D(2), commit=False)]
+    state = run(spark, rows, *rules)
+    lines = ko_lines(state, "proposals").collect()
+    taken = defaultdict(D)
+    for r in lines:
+        taken[r.rule_code, r.tran_gid] += r.ko_value
+    assert dict(taken) == {("R1", 1): 5, ("R1", 2): 5, ("R1", 3): 6, ("R1", 4): 6, ("R2", 1): 5, ("R2", 2): 5}
+    assert left_over(state) == {1: D("5.00"), 2: D("5.00"), 3: D("8.00"), 4: D("6.00")}
+
+
+def test_reversals_match_reversals_only(spark):
+    rows = [(1, "A", "k", -5), (2, "B", "k", -5), (3, "A", "k", 5), (4, "B", "m", -3), (5, "A", "m", 3), (6, "B", "p", "-2.01"), (7, "A", "p", -2)]
+    state = run(spark, rows, rule(tolerance=D("0.01")))
+    assert kos(state) == [[1, 2], [6, 7]]
+    by_id = {r.tran_gid: r for r in state.collect()}
+    assert by_id[6].excp_value == D("-0.01") and by_id[6].excp_value == by_id[6].roundoff_value * by_id[6].tran_mult
+    assert by_id[3].excp_value == 5 and by_id[4].excp_value == -3
+
+
+def test_partial_passes_follow_each_full_pass():
+    assert rule(group_flag="MTM", partial=True).passes() == ["MTM", "PARTIAL", "OTM", "PARTIAL"]
+
+
+def test_recons_with_other_keys_are_other_classes(spark):
+    rules = [
+        rule(recon_code=r, rule_code=f"{r}{k}", order=D(k), keys=keys)
+        for r, keys in (("R", ("ref_no",)), ("S", ("branch",)), ("T", ("ref_no",)))
+        for k in range(4)
+    ]
+    classes = key_classes(rules)
+    assert [sorted({x.recon_code for x in own}) for own in classes] == [["S"], ["R", "T"]]
+    # Each class has a single stretch: its keys never change.
+    assert [len({s.keys for s in plan_steps(own)}) for own in classes] == [1, 1]
+    rows = [(1, "A", "k", 5, 0, "R"), (2, "B", "k", 5, 0, "R"), (3, "A", "x", 5, 0, "S"), (4, "B", "y", 5, 0, "S"), (5, "A", "k", 5, 0, "U")]
+    df = trans(spark, rows).withColumn("branch", F.lit("b"))
+    state, _ = run_rules(df, rules)
+    assert kos(state) == [[1, 2], [3, 4]] and state.count() == 5
