@@ -184,6 +184,9 @@ GROWING = (
 
 DRIVER_TABLES = ("region", "nation", "customer", "orders", "lineitem")
 
+# Views that an oracle reads more than once and that cost a sort or a join.
+MATERIALIZED = ("fx_mtm_feed", "ranked", "pairs", "lone", "nearest")
+
 _NAME = re.compile(r"\{(\w+)\}")
 
 
@@ -203,7 +206,8 @@ def with_prefix(sql: str, views: dict[str, str] | None = None) -> str:
                 order.append(name)
 
     visit(sql)
-    parts = [f"{name} as ({_NAME.sub(r'\1', known[name])})" for name in order]
+    kept = {name: " materialized" if name in MATERIALIZED else "" for name in order}
+    parts = [f"{name} as{kept[name]} ({_NAME.sub(r'\1', known[name])})" for name in order]
     body = _NAME.sub(r"\1", sql)
     return f"with {', '.join(parts)} {body}" if parts else body
 
