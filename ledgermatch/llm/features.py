@@ -25,17 +25,17 @@ def _ids(hashes: np.ndarray, kind: int) -> np.ndarray:
 def style_features(data: bytes) -> np.ndarray:
     """Distinct features of a whole text as written: words between blanks, pairs of them, their first
     four and last two bytes, pairs of endings, and whether a word is repeated at once."""
-    words = Words(data, SOLID, lower=False, affix=4)
-    kinds = [words.hashes, grams(words.hashes, 2), words.heads, words.tails, grams(words.tails, 2)]
+    words = Words(data, SOLID, lower=False, heads=(4,), tails=(2,))
+    kinds = [words.hashes, grams(words.hashes, 2), *words.heads, *words.tails, grams(words.tails[0], 2)]
     again = words.hashes[1:][words.hashes[1:] == words.hashes[:-1]][:1] * np.uint64(0)
     return np.unique(np.concatenate([_ids(h, k) for k, h in enumerate([*kinds, again])]))
 
 
 def word_features(data: bytes) -> np.ndarray:
     """Distinct features of a whole text, A-Z lower-cased: words of letters and digits, pairs of
-    them, and their first six and last three bytes."""
-    words = Words(data, LETTERS, affix=6)
-    kinds = [words.hashes, grams(words.hashes, 2), words.heads, words.tails]
+    them, and their first four, five and six and last three bytes, as stems may be inflected."""
+    words = Words(data, LETTERS, heads=(4, 5, 6), tails=(3,))
+    kinds = [words.hashes, grams(words.hashes, 2), *words.heads, *words.tails]
     return np.unique(np.concatenate([_ids(h, k + 8) for k, h in enumerate(kinds)]))
 
 

@@ -103,7 +103,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Categories of the chain: columns made from the labels there are.
 CATEGORIES = ("low_quality", "toxic")
 #: Probability from which a document is rejected as toxic.
-THRESHOLD = 0.5
+THRESHOLD = 0.3
 
 
 def toxicity_chain(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Chain:

@@ -72,20 +72,31 @@ def prefix_sums(a: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Spans ``[start, end)`` in bytes, and hashes, of the words of one text."""
-
-    def __init__(self, data: bytes, inside: np.ndarray, lower: bool = True, affix: int = 0):
+    """Spans ``[start, end)`` in bytes, and hashes, of the words of one text; also hashes of their first
+    and last bytes (``heads``, ``tails``), as many as asked for, or of short words as a whole."""
+
+    def __init__(
+        self,
+        data: bytes,
+        inside: np.ndarray,
+        lower: bool = True,
+        heads: tuple[int, ...] = (),
+        tails: tuple[int, ...] = (),
+    ):
         self.data = data
-        parts = [self._scan(a, at, inside, affix) for at, a in _pieces(data, inside, lower)]
-        self.starts, self.ends, self.hashes, self.heads, self.tails = (
+        parts = [self._scan(a, at, inside, heads, tails) for at, a in _pieces(data, inside, lower)]
+        self.starts, self.ends, self.hashes, *affixes = (
             (np.concatenate([p[k] for p in parts]) if len(parts) > 1 else parts[0][k])
             if parts
             else np.zeros(0, np.int64 if k < 2 else np.uint64)
-            for k in range(5)
+            for k in range(3 + len(heads) + len(tails))
         )
+        self.heads, self.tails = affixes[: len(heads)], affixes[len(heads) :]
 
     @staticmethod
-    def _scan(a: np.ndarray, at: int, inside: np.ndarray, affix: int) -> tuple[np.ndarray, ...]:
+    def _scan(
+        a: np.ndarray, at: int, inside: np.ndarray, heads: tuple[int, ...], tails: tuple[int, ...]
+    ) -> list[np.ndarray]:
         edges = np.zeros(len(a) + 2, np.int8)
         edges[1:-1] = inside[a]
         cuts = np.flatnonzero(np.diff(edges))
@@ -96,10 +107,9 @@ class Words:
         def span(s: np.ndarray, e: np.ndarray) -> np.ndarray:
             return (sums[e] - sums[s]) * inverse[s]
 
-        none = np.zeros(0, np.uint64)
-        heads = span(starts, np.minimum(starts + affix, ends)) if affix else none
-        tails = span(np.maximum(ends - affix // 2, starts), ends) if affix else none
-        return starts + at, ends + at, span(starts, ends), heads, tails
+        affixes = [span(starts, np.minimum(starts + n, ends)) for n in heads]
+        affixes += [span(np.maximum(ends - n, starts), ends) for n in tails]
+        return [starts + at, ends + at, span(starts, ends), *affixes]
 
     def __len__(self) -> int:
         return len(self.starts)
