@@ -183,7 +183,8 @@ def ko_detail(ledger: Ledger, universe: DataFrame, period: Period) -> DataFrame:
 
 
 def ko_line_fact(ledger: Ledger, scope: DataFrame, period: Period) -> DataFrame:
-    """KO lines dated in the period with tran, recon and (if any) rule attributes."""
+    """KO lines dated in the period with tran, recon and (if any) rule attributes. A KO's trans are of
+    its recon, so trans of recons outside the scope are not read."""
     kos = (
         live(ledger.ko)
         .filter(in_period(period, "ko_date"))
@@ -194,7 +195,7 @@ def ko_line_fact(ledger: Ledger, scope: DataFrame, period: Period) -> DataFrame:
         "rule_code", "rule_name", "rule_order", "source_dataset_code", "comparison_dataset_code"
     )
     lines = live(ledger.ko_line).select("kodtl_gid", "ko_gid", "tran_gid", "ko_value", "ko_mult")
-    trans = live(ledger.all_trans()).select("tran_gid", "dataset_code")
+    trans = live(ledger.all_trans()).join(scope.select("recon_code"), "recon_code").select("tran_gid", "dataset_code")
     return (
         lines.join(kos, "ko_gid")
         .join(trans, "tran_gid")

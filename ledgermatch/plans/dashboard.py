@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
@@ -12,6 +12,7 @@ from ledgermatch.operators.scope import dataset_count
 from ledgermatch.operators.universe import ko_detail, tran_universe
 from ledgermatch.params import Period
 from ledgermatch.sources.ledger import Ledger
+from ledgermatch.sources.rounds import RunFolder
 
 COUNTS = (
     "tran_count",
@@ -53,9 +54,11 @@ def tran_counts(universe: DataFrame, period: Period) -> DataFrame:
     )
 
 
-def dashboard_counts(ledger: Ledger, scope: DataFrame, period: Period) -> DataFrame:
+def dashboard_counts(
+    ledger: Ledger, scope: DataFrame, period: Period, universe: DataFrame | None = None
+) -> DataFrame:
     """One row per recon of the scope."""
-    universe = tran_universe(ledger, scope, period)
+    universe = universe if universe is not None else tran_universe(ledger, scope, period)
     counts = tran_counts(universe, period)
     split = ko_split(ledger, universe, period)
     joined = (
@@ -90,40 +93,42 @@ def dashboard_counts_scope(ledger: Ledger, scope: DataFrame, period: Period) ->
     )
 
 
-def exception_aging(ledger: Ledger, scope: DataFrame, period: Period) -> DataFrame:
+def exception_aging(
+    ledger: Ledger, scope: DataFrame, period: Period, universe: DataFrame | None = None
+) -> DataFrame:
     """Exceptions per aging bucket with their share; every bucket appears, also deleted ones.
 
-    Exceptions are counted by date first, so the range condition meets days, not trans.
+    Exceptions are counted by date first, so the range condition and the total meet days, not trans.
     """
+    universe = universe if universe is not None else tran_universe(ledger, scope, period)
     days = (
-        tran_universe(ledger, scope, period)
-        .filter(net_exception())
+        universe.filter(net_exception())
         .groupBy("tran_date")
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("age", F.datediff(period.as_of_col, "tran_date"))
+        .withColumn("whole", F.sum("n").over(Window.partitionBy()))
     )
     buckets = live(ledger.aging).select("aging_gid", "aging_from", "aging_to")
     counted = (
         days.join(buckets, F.col("age").between(F.col("aging_from"), F.col("aging_to")))
         .groupBy("aging_gid")
-        .agg(F.sum("n").alias("excp_count"))
+        .agg(F.sum("n").alias("excp_count"), F.max("whole").alias("whole"))
     )
-    whole = F.greatest(F.coalesce(days.agg(F.sum("n")).scalar(), F.lit(0)), F.lit(1))
     return ledger.aging.join(counted, "aging_gid", "left").select(
         "aging_gid",
         "aging_desc",
         F.coalesce("excp_count", F.lit(0)).alias("excp_count"),
-        F.coalesce(F.col("excp_count").cast(DecimalType(18, 0)) * 100 / whole, F.lit(0))
+        F.coalesce(F.col("excp_count").cast(DecimalType(18, 0)) * 100 / F.col("whole"), F.lit(0))
         .cast(DecimalType(6, 2))
         .alias("excp_percent"),
     )
 
 
 def dashboard(ledger: Ledger, scope: DataFrame, period: Period) -> dict[str, DataFrame]:
-    """The three count reports."""
-    universe = tran_universe(ledger, scope, period)
+    """The three count reports, from one universe, which is derived once and written to the shared folder."""
+    universe = RunFolder(scope.sparkSession).table(tran_universe(ledger, scope, period), "universe")
     return {
-        "counts": dashboard_counts(ledger, scope, period),
+        "counts": dashboard_counts(ledger, scope, period, universe),
         "ko_split": ko_split(ledger, universe, period),
-        "aging": exception_aging(ledger, scope, period),
+        "aging": exception_aging(ledger, scope, period, universe),
     }

@@ -43,6 +43,12 @@ class RunFolder:
         df.write.mode("errorifexists").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def remove(self) -> None:
+        """Delete the run's tables, once nothing reads them any more."""
+        if "path" in self.__dict__:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
     def scratch(self, df: DataFrame) -> DataFrame:
         """As :meth:`table`, under the next free name."""
         return self.table(df, f"scratch-{next(self._number)}")

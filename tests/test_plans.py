@@ -8,6 +8,7 @@ import pytest
 from ledgermatch.operators.scope import scope_by_code
 from ledgermatch.operators.universe import in_window
 from ledgermatch.params import Period
+from ledgermatch.plans.dashboard import dashboard, exception_aging
 from ledgermatch.plans.matching import load_rules, run_rules
 from ledgermatch.plans.values import value_dashboard
 from ledgermatch.sources.fixtures import Fixtures
@@ -52,3 +53,14 @@ def test_value_dashboard_scans_each_tran_table_once(stored):
     text = plan(value_dashboard(ledger, scope_by_code(ledger, PERIOD.as_of_col), PERIOD))
     scans = [line for line in text.splitlines() if "FileScan" in line and "tran_value" in line]
     assert len(scans) == 2, text
+
+
+def test_counts_and_aging_read_the_universe_once(stored):
+    ledger, _ = stored
+    reports = dashboard(ledger, scope_by_code(ledger, PERIOD.as_of_col), PERIOD)
+    for name in ("counts", "aging"):
+        scans = [line for line in plan(reports[name]).splitlines() if "FileScan" in line and "recon_trn_ttran" in line]
+        assert not [line for line in scans if "ttranbrkp" not in line], name
+    text = plan(exception_aging(ledger, scope_by_code(ledger, PERIOD.as_of_col), PERIOD))
+    scans = [line for line in text.splitlines() if "FileScan" in line and "tran_date" in line and "excp_value" in line]
+    assert len(scans) == 2, text

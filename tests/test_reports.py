@@ -1,6 +1,7 @@
 """Reports, sinks and checks on small tables."""
 
 import datetime as dt
+import os
 from decimal import Decimal as D
 
 import pytest
@@ -19,6 +20,7 @@ from ledgermatch.plans.values import value_dashboard
 from ledgermatch.operators.state import ko_lines
 from ledgermatch.sources.fixtures import Fixtures
 from ledgermatch.sources.ledger import Ledger
+from ledgermatch.sources.rounds import RunFolder
 
 SF_DIR = "/root/testdata/sf0.001"
 PERIOD = Period(dt.date(1997, 1, 1), dt.date(1997, 12, 31), dt.date(1998, 1, 1))
@@ -152,3 +154,12 @@ def test_run_statistics_replace_only_their_own(spark, ledger, tmp_path):
     got = spark.read.parquet(folder)
     assert {r.recon_code for r in got.filter("before_count = 0").collect()} == {"RC1"}
     assert got.select("recon_code").distinct().count() == 5
+
+
+def test_run_folder_can_be_removed(spark):
+    folder = RunFolder(spark)
+    folder.remove()
+    folder.scratch(spark.range(3))
+    assert os.path.isdir(folder.path)
+    folder.remove()
+    assert not os.path.exists(folder.path)
