@@ -24,9 +24,9 @@ from ledgermatch.llm.textscan import SOLID, Words, as_bytes, grams, map_rows, mi
 from ledgermatch.sources.rounds import RunFolder
 
 RUN = 3
-WORDS = 20
+WORDS = 25
 #: One in so many pairs of words is a cut.
-CUT = 8
+CUT = 5
 #: Sentences of a run at most, by its number of words: each has a word at least.
 _PACK = 1 << 10
 

@@ -18,6 +18,9 @@ from pyspark.sql.types import StructType
 #: Bytes scanned at a time; a text is cut only between words.
 PIECE = 1 << 22
 
+#: Rows of an Arrow batch that are worked on at a time, which bounds what a worker holds.
+ROWS = 4096
+
 _BASE = 0x9E3779B97F4A7C15
 _GRAM = 0xD6E8FEB86659FD93
 
@@ -164,14 +167,16 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 
 
 def map_rows(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, object]], schema: str) -> DataFrame:
-    """``df`` with every Arrow batch replaced by the columns that ``make`` returns for it."""
+    """``df`` with every Arrow batch, a few thousand rows at a time, replaced by the columns that ``make``
+    returns for it."""
     kind = StructType.fromDDL(schema)
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = make(batch)
-            yield pa.RecordBatch.from_arrays([_column(out[f.name], f.type) for f in arrow], schema=arrow)
+            for at in range(0, batch.num_rows, ROWS):
+                out = make(batch.slice(at, ROWS))
+                yield pa.RecordBatch.from_arrays([_column(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, kind)
 

@@ -346,7 +346,7 @@ def test_passages_against_all_spans(spark, docs):
     seen, want = {}, {}
     for i, text in rows:
         found, first = passages.sentences(text.encode())
-        ends = [passages.runs(found, first, 3, 20)[0], found]
+        ends = [passages.runs(found, first, 3, 25)[0], found]
         covered = set()
         for s, n in enumerate(ends[0]):
             span = tuple(found.word(k) for k in range(first[s], first[s + n]))
