@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +17,7 @@ DIMENSIONS = 1 << BITS
 #: Labelled documents that a classifier is fitted on at most.
 SAMPLE = 8_000
 
-_MISSING = np.zeros(0, np.int64)
+_MISSING = np.zeros(0, np.int32)
 
 
 def _ids(hashes: np.ndarray, kind: int) -> np.ndarray:
@@ -69,17 +72,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], make
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in ("doc_id", *columns)), "features array<int>"])
     rows = map_rows(rows, extract, schema).groupBy("doc_id").agg(F.min(F.struct(*columns, "features")).alias("x"))
     found = rows.select("doc_id", "x.*").toArrow()
-    found = found.take(pa.compute.sort_indices(found["doc_id"]))
+    order = pc.sort_indices(found["doc_id"]).to_numpy()
+    values = np.stack([found[c].to_numpy() for c in columns], axis=1).astype(np.float64)
     lists = found["features"].combine_chunks()
-    labels_out = np.stack([found[c].to_numpy() for c in columns], axis=1).astype(np.float64)
-    return labels_out, Rows(lists.values.to_numpy()[lists.offsets[0].as_py() :], np.asarray(lists.offsets, np.int64))
+    return values[order], Rows(lists.flatten().to_numpy(), np.asarray(lists.offsets, np.int64)).take(order)
 
 
 class Rows:
-    """Sparse indicator rows: feature numbers of all rows on end, and where each row begins."""
+    """Sparse indicator rows: feature numbers of all rows on end, and where each row begins. Sums go over
+    some rows at a time, so that they need little memory besides."""
 
     def __init__(self, ids: np.ndarray, offsets: np.ndarray):
-        self.ids, self.offsets = ids.astype(np.int64), np.asarray(offsets, np.int64) - offsets[0]
+        self.ids, self.offsets = ids.astype(np.int32, copy=False), np.asarray(offsets, np.int64) - offsets[0]
         self.lengths = np.diff(self.offsets)
 
     def __len__(self) -> int:
@@ -92,13 +96,25 @@ class Rows:
         parts = [self.row(k) for k in at]
         return Rows(np.concatenate([_MISSING, *parts]), np.concatenate([[0], np.cumsum([len(p) for p in parts])]))
 
+    def _blocks(self) -> Iterator[slice]:
+        for at in range(0, len(self), 256):
+            yield slice(at, min(at + 256, len(self)))
+
     def dot(self, weights: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0.0], np.cumsum(weights[self.ids])])
-        return sums[self.offsets[1:]] - sums[self.offsets[:-1]]
+        out = np.zeros(len(self))
+        for own in self._blocks():
+            at = self.offsets[own.start : own.stop + 1]
+            sums = np.concatenate([[0.0], np.cumsum(weights[self.ids[at[0] : at[-1]]], dtype=np.float64)])
+            out[own] = np.diff(sums[at - at[0]])
+        return out
 
     def back(self, values: np.ndarray) -> np.ndarray:
         """Sum of ``values`` (one for each row) by feature."""
-        return np.bincount(self.ids, np.repeat(values, self.lengths), DIMENSIONS)
+        out = np.zeros(DIMENSIONS)
+        for own in self._blocks():
+            ids = self.ids[self.offsets[own.start] : self.offsets[own.stop]]
+            np.add.at(out, ids, np.repeat(values[own], self.lengths[own]))
+        return out
 
 
 def folds(n: int, k: int) -> np.ndarray:

@@ -10,6 +10,8 @@ from ledgermatch.llm.features import Rows, sigmoid
 SMOOTH = 1.0
 COST = 0.05
 ROUNDS = 12
+#: A round that moves no dual variable by more than this share of the cost is the last.
+SETTLED = 0.01
 
 
 def log_count_ratios(rows: Rows, y: np.ndarray, smooth: float = SMOOTH) -> np.ndarray:
@@ -26,16 +28,20 @@ def support_vectors(
     norms = np.maximum(rows.dot(scale**2), 0) + (more**2).sum(axis=1)
     order = np.random.default_rng(7)
     for _ in range(rounds):
+        most = 0.0
         for k in order.permutation(len(rows)):
             ids = rows.row(k)
             x = scale[ids]
             slope = y[k] * (w[ids] @ x + v @ more[k]) - 1
             new = min(max(dual[k] - slope / norms[k], 0.0), cost)
             if new != dual[k]:
+                most = max(most, abs(new - dual[k]))
                 step = (new - dual[k]) * y[k]
                 w[ids] += step * x
                 v += step * more[k]
                 dual[k] = new
+        if most < SETTLED * cost:
+            break
     return w * scale, v
 
 
