@@ -6,6 +6,7 @@ such cuts depend on these words only, so a passage is cut the same wherever it i
 sentence on, the shortest run of at least ``run`` sentences and ``words`` words is hashed. Runs that
 occur twice or more, in all texts, are joined; all their occurrences but the first cover sentences,
 and covered sentences are removed.
+As runs are the shortest from each sentence on, the last sentence of a repeated passage may be left.
 
 The first pass counts 64-bit hashes only. Occurrences, with 128-bit hashes, are moved for runs whose
 short hash repeats. Counts and firsts are partial aggregates; they are written and joined back as

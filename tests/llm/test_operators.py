@@ -333,7 +333,8 @@ def test_passages(spark, docs):
     gone = collections.Counter(rows[1][1].split()) - collections.Counter(by[2].kept.split())
     assert set(gone) <= set(shared.split()) and sum(gone.values()) == by[2].n_words_removed
     # A text that repeats itself keeps its first occurrence.
-    assert 0 < by[10].n_words_removed < 1800 and by[10].kept == "A b c. D e f! G h i? "
+    # The shortest runs need not reach the last sentence.
+    assert 1780 < by[10].n_words_removed < 1800 and by[10].kept.startswith("A b c. D e f! G h i? ")
     # No word pair of it is a cut, so it is one sentence.
     assert (by[11].n_sentences, by[11].n_removed) == (1, 0)
     assert passages.remove_repeats(docs([])).count() == 0
