@@ -1,12 +1,15 @@
 """Substring deduplication by sliding sentence spans.
 
 A text is cut into sentences: at line feeds and behind words that end in a full stop, an exclamation
-or a question mark. Long sentences are cut further, where the hash of two neighbouring words says so;
-such cuts depend on these words only, so a passage is cut the same wherever it is quoted. From each
-sentence on, the shortest run of at least ``run`` sentences and ``words`` words is hashed. Runs that
-occur twice or more, in all texts, are joined; all their occurrences but the first cover sentences,
-and covered sentences are removed.
-As runs are the shortest from each sentence on, the last sentence of a repeated passage may be left.
+or a question mark. Long sentences are cut further, where the hash of two neighbouring words says so, and
+where it is the smallest of ``GAP`` pairs none of which is a cut. So a sentence has ``GAP`` words at most,
+and cuts depend on words nearby only: a passage is cut the same wherever it is quoted, but for less than
+``GAP`` words at its ends. From each sentence on, the shortest run of at least ``run`` sentences and ``words``
+words is hashed. Runs that occur twice or more, in all texts, are joined; all their occurrences but the
+first cover sentences, and covered sentences are removed.
+With the defaults every passage of 48 words holds a run, whatever is around it: its first ``GAP`` pairs have
+a cut, and the run from there ends before its last ``GAP`` pairs. As runs are the shortest from each sentence
+on, words at the two ends of a repeated passage may be left.
 
 The first pass counts 64-bit hashes only. Occurrences, with 128-bit hashes, are moved for runs whose
 short hash repeats. Counts and firsts are partial aggregates; they are written and joined back as
@@ -21,13 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgermatch.llm.textscan import SOLID, Words, as_bytes, grams, map_rows, mix, span_hashes
+from ledgermatch.llm.textscan import SOLID, Words, as_bytes, grams, map_rows, mix, sliding_min, span_hashes
 from ledgermatch.sources.rounds import RunFolder
 
 RUN = 3
 WORDS = 25
 #: One in so many pairs of words is a cut.
 CUT = 5
+#: Every so many pairs of words in a row have a cut.
+GAP = 8
 #: Sentences of a run at most, by its number of words: each has a word at least.
 _PACK = 1 << 10
 
@@ -46,10 +51,23 @@ def sentences(data: bytes) -> tuple[Words, np.ndarray]:
     cut[np.searchsorted(words.ends, lines, side="right") - 1] |= len(lines) > 0  # the word before each line feed
     pairs = grams(words.hashes, 2)
     cut[:-1] |= pairs % np.uint64(CUT) == 0
+    cut[:-1] |= smallest_without_cut(pairs, cut[:-1])
     cut[-1] = True
     return words, np.concatenate([[0], np.flatnonzero(cut) + 1])
 
 
+def smallest_without_cut(pairs: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Where a pair is the smallest (all, if several are) of ``GAP`` pairs in a row that have no cut."""
+    found = np.zeros(len(pairs), bool)
+    seen = np.concatenate([[0], np.cumsum(cut)])
+    bare = seen[GAP:] == seen[:-GAP]
+    if bare.any():
+        least = sliding_min(pairs, GAP)
+        for k in range(GAP):
+            found[k : k + len(bare)] |= bare & (pairs[k : k + len(bare)] == least)
+    return found
+
+
 def runs(words: Words, first: np.ndarray, run: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Number of sentences of the run that starts at each sentence which has one, and two hashes."""
     count = len(first) - 1

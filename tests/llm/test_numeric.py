@@ -3,13 +3,14 @@
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ledgermatch.llm import textscan
 from ledgermatch.llm.contamination import Index
 from ledgermatch.llm.lines import CuckooFilter
-from ledgermatch.llm.passages import sentences
+from ledgermatch.llm.passages import GAP, runs, sentences
 from ledgermatch.llm.simhash import GrayIndex, fingerprint, forest, gray_rank
 from ledgermatch.llm.textscan import LETTERS, SOLID, Words, grams, sliding_min
 from ledgermatch.llm.tokens import attribute, character_spans
@@ -169,6 +170,21 @@ def test_sentences_do_not_depend_on_what_is_around():
         assert {c for c in cuts if 0 < c < 299} == {c for c in alone if 0 < c < 299}
 
 
+@pytest.mark.parametrize("vocabulary", [2, 12, 50_000])
+def test_each_passage_of_48_words_holds_a_run_whatever_is_around(vocabulary):
+    rng = np.random.default_rng(4)
+    for _ in range(400):
+        inner, *around = (["w%d" % k for k in rng.integers(0, vocabulary, n)] for n in (48, 40, 40, 40, 40))
+        inside = []
+        for before, after in (around[:2], around[2:]):
+            found, first = sentences(" ".join(before + inner + after).encode())
+            assert np.diff(first).max() <= GAP
+            n, one, _ = runs(found, first, 3, 25)
+            own = (first[: len(n)] >= 40) & (first[np.arange(len(n)) + n] <= 88)
+            inside.append(set(one[own].tolist()))
+        assert inside[0] & inside[1]
+
+
 def test_token_attribution_rules():
     starts, ends, bounds = np.array([0, 2, 5, 7]), np.array([2, 5, 7, 12]), np.array([0, 4, 4, 6, 12])
     for rule, want in (("first", [2, 0, 1, 1]), ("most", [2, 0, 1, 1]), ("share", [1 + 2 / 3, 0, 1 / 3 + 0.5, 1.5])):
