@@ -31,6 +31,11 @@ def with_state(trans: DataFrame) -> DataFrame:
     return trans.withColumns(missing) if missing else trans
 
 
+def without_proposals(state: DataFrame) -> DataFrame:
+    """A state in which no rule has proposed anything."""
+    return with_state(state.drop("proposals", "proposed_rule", "proposed_value"))
+
+
 def working_value() -> Column:
     """What the row's rule may still match: the open value, less what the rule has proposed."""
     own = F.col("proposed_rule").eqNullSafe(F.col("rule_code"))

@@ -21,7 +21,7 @@ from ledgermatch.functions.predicates import in_period, live, net_open
 from ledgermatch.operators.groups import HOT_ROWS, split_by_size
 from ledgermatch.operators.passes import one_to_one, partial, whole_group
 from ledgermatch.operators.scope import active_rules, eligible_recons
-from ledgermatch.operators.state import apply_hits, ko_lines, still_open, with_state, working_value
+from ledgermatch.operators.state import apply_hits, ko_lines, still_open, with_state, without_proposals, working_value
 from ledgermatch.params import Period
 from ledgermatch.sources.ledger import Ledger
 from ledgermatch.sources.local import local_table
@@ -347,7 +347,8 @@ def match_until_stable(
     the open trans no longer change. Each round but the last matches something, so it comes to an end
     by itself; ``max_rounds`` may end it sooner.
 
-    Each round is written to the shared folder. Closed rows do not go into the next round.
+    Each round is written to the shared folder. Closed rows do not go into the next round. Proposals are
+    those of the last round: each round makes its own, on what the rounds before have left.
     """
     folder = RunFolder(trans.sparkSession)
     state, sub = trans, breakups
@@ -363,9 +364,11 @@ def match_until_stable(
             changed = changed or not sub.filter(new).isEmpty()
         if not changed or round_no == max_rounds:
             break
+        state = without_proposals(state)
         closed.append(state.filter(~still_open()))
         state = state.filter(still_open())
         if sub is not None:
+            sub = without_proposals(sub)
             closed_sub.append(sub.filter(~still_open()))
             sub = sub.filter(still_open())
     for part in closed:

@@ -26,7 +26,9 @@ from ledgermatch.sources.ledger import Ledger
 
 @dataclass(frozen=True)
 class RunReport:
-    """``ledger``: the tables as the run leaves them (a preview leaves them as they were)."""
+    """``ledger``: the tables as the run leaves them (a preview leaves them as they were). ``preview`` and
+    ``amounts`` have the lines of committing rules and, which are not in the ledger, of those that only
+    propose."""
 
     outcome: mt.Stable
     ledger: Ledger
@@ -77,12 +79,12 @@ def _left_of(breakups: DataFrame, state: DataFrame | None) -> DataFrame:
     )
 
 
-def _all_lines(outcome: mt.Stable) -> DataFrame:
+def _all_lines(outcome: mt.Stable, source: str = "allocs") -> DataFrame:
     """KO lines of trans, and those of breakups under the trans that own them."""
-    lines = ko_lines(outcome.trans)
+    lines = ko_lines(outcome.trans, source)
     if outcome.breakups is None:
         return lines
-    below = ko_lines(outcome.breakups).withColumn("tran_gid", F.col("parent_gid"))
+    below = ko_lines(outcome.breakups, source).withColumn("tran_gid", F.col("parent_gid"))
     return lines.unionByName(below.select(*lines.columns))
 
 
@@ -128,7 +130,8 @@ def run_recon(
         after = outcome.breakups.withColumnRenamed("dataset_code", "tranbrkp_dataset_code")
         breakups = (ready.breakup.join(own, "tranbrkp_gid", "left_semi"), after)
     stats = run_stats(before, outcome.trans, *breakups, automatch_flag="Y" if commit else "N")
-    preview = match_preview(_all_lines(outcome), ledger.rule.filter("delete_flag = 'N'"), job_gid)
+    lines = _all_lines(outcome).unionByName(_all_lines(outcome, "proposals"))
+    preview = match_preview(lines, ledger.rule.filter("delete_flag = 'N'"), job_gid)
     after_run = committed(ready, outcome, period.as_of_col, job_gid) if commit else ledger
     return RunReport(
         outcome,

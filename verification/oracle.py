@@ -570,6 +570,19 @@ select a.recon_code, a.tran_gid, a.tran_value,
   case when a.tran_date between {START} and {END} then a.excp_value else a.tran_value end as excp_value,
   case when a.tran_date between {START} and {END} then '' else 'OLD' end as theme_code
 from {{answer}} a join {{scope}} s on a.recon_code = s.recon_code where s.recontype_code not in ('W', 'B')""",
+    "run_preview": f"""
+select x.mode, x.recon_code, x.rule_code, count(*) as line_count, {money("sum(x.v)")} as ko_value from (
+  select m.mode, a.recon_code, case a.kind when 'SPLIT' then a.recon_code || '-R4' else a.rule_code end as rule_code,
+    a.tran_value - a.excp_value as v
+  from {{answer}} a join (select 'once' as mode union all select 'stable') m on true
+  where a.kind <> 'MISSING' and a.tran_date between {START} and {END}
+  union all
+  select m.mode, a.recon_code, a.recon_code || '-R2', a.tran_value
+  from {{answer}} a join (select 'once' as mode union all select 'stable') m
+    on m.mode = 'once' or a.tran_date not between {START} and {END}
+  where a.kind = 'SPLIT') x
+join {{scope}} s on x.recon_code = s.recon_code where s.recontype_code not in ('W', 'B')
+group by x.mode, x.recon_code, x.rule_code""",
     "committed_tables": f"""
 select recon_code, tran_gid, excp_value, case when excp_value = 0 then 'matched' else 'open' end as place,
   {money("case when excp_value <> tran_value then tran_value - excp_value end")} as ko_value

@@ -504,6 +504,21 @@ def run_outcome(c: Case) -> DataFrame:
     return report.outcome.trans.select("recon_code", "tran_gid", "tran_value", "excp_value", "theme_code")
 
 
+@query
+def run_preview(c: Case) -> DataFrame:
+    """Committing runs, one pass and until stable, whose second rule only proposes."""
+    before = _before_run(c)
+    probable = F.when(F.col("rule_name") == "Split", "Y").otherwise(F.col("probable_match_flag"))
+    ledger = replace(before, rule=before.rule.withColumn("probable_match_flag", probable))
+    runs = [
+        rc.run_recon(ledger, PERIOD, job_gid=7, until_stable=stable).preview.withColumn("mode", F.lit(mode))
+        for mode, stable in (("once", False), ("stable", True))
+    ]
+    return runs[0].unionByName(runs[1]).groupBy("mode", "recon_code", "rule_code").agg(
+        F.count(F.lit(1)).alias("line_count"), F.sum("ko_value").cast(TOTAL).alias("ko_value")
+    )
+
+
 @query
 def committed_tables(c: Case) -> DataFrame:
     after = rc.run_recon(_before_run(c), PERIOD, job_gid=7).ledger
