@@ -491,10 +491,28 @@ def match(
     return Stable(state, sub, 1, False, refused)
 
 
-def probable_preview(ledger: Ledger, period: Period, codes: Sequence[str] | None = None, job_gid: int = 0) -> DataFrame:
-    """KO lines that probable-match rules propose on the open trans as they are now, of any date. Each
-    rule works on its own copy of the open values, which its later passes find changed."""
+def all_lines(trans: DataFrame, breakups: DataFrame | None, source: str = "allocs") -> DataFrame:
+    """KO lines of trans, and those of breakups under the trans that own them."""
+    lines = ko_lines(trans, source)
+    if breakups is None:
+        return lines
+    below = ko_lines(breakups, source).withColumn("tran_gid", F.col("parent_gid"))
+    return lines.unionByName(below.select(*lines.columns))
+
+
+def probable_preview(
+    ledger: Ledger,
+    period: Period,
+    codes: Sequence[str] | None = None,
+    job_gid: int = 0,
+    breakup_keys: Sequence[str] = (),
+) -> DataFrame:
+    """KO lines that probable-match rules propose on the open trans and breakups as they are now, of any
+    date; lines of breakups under the trans that own them. Each rule works on its own copy of the open
+    values, which its later passes find changed."""
     recons = eligible_recons(ledger, period.as_of_col, codes)
-    rules = [r for r in load_rules(ledger, period.as_of_col, recons) if r.probable and r.apply_on == "T"]
-    state, _ = run_rules(probable_state(ledger, recons), rules, job_gid=job_gid)
-    return ko_lines(state, "proposals")
+    rules = [r for r in load_rules(ledger, period.as_of_col, recons) if r.probable]
+    trans = probable_state(ledger, recons)
+    needed = any(r.apply_on == "S" for r in rules)
+    breakups = as_breakups(ledger.breakup, breakup_keys, trans) if needed else None
+    return all_lines(*run_rules(trans, rules, breakups, job_gid=job_gid), "proposals")

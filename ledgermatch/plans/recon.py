@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgermatch.operators.keys import key_normalise
 from ledgermatch.operators.scope import eligible_recons
-from ledgermatch.operators.state import ko_lines, ko_tables, state_split
+from ledgermatch.operators.state import ko_tables, state_split
 from ledgermatch.params import Period
 from ledgermatch.plans import matching as mt
 from ledgermatch.plans.runs import (
@@ -53,7 +53,7 @@ def committed(ledger: Ledger, outcome: mt.Stable, ko_date: Column, job_gid: int)
     columns = ledger.open.columns
     still, gone = (df.select(*columns) for df in state_split(outcome.trans))
     rest = ledger.open.join(outcome.trans.select("tran_gid"), "tran_gid", "left_anti").select(*columns)
-    lines = _all_lines(outcome)
+    lines = mt.all_lines(outcome.trans, outcome.breakups)
     headers, details = ko_tables(lines, ko_date, job_gid)
     return replace(
         ledger,
@@ -79,15 +79,6 @@ def _left_of(breakups: DataFrame, state: DataFrame | None) -> DataFrame:
     )
 
 
-def _all_lines(outcome: mt.Stable, source: str = "allocs") -> DataFrame:
-    """KO lines of trans, and those of breakups under the trans that own them."""
-    lines = ko_lines(outcome.trans, source)
-    if outcome.breakups is None:
-        return lines
-    below = ko_lines(outcome.breakups, source).withColumn("tran_gid", F.col("parent_gid"))
-    return lines.unionByName(below.select(*lines.columns))
-
-
 def run_recon(
     ledger: Ledger,
     period: Period,
@@ -130,7 +121,8 @@ def run_recon(
         after = outcome.breakups.withColumnRenamed("dataset_code", "tranbrkp_dataset_code")
         breakups = (ready.breakup.join(own, "tranbrkp_gid", "left_semi"), after)
     stats = run_stats(before, outcome.trans, *breakups, automatch_flag="Y" if commit else "N")
-    lines = _all_lines(outcome).unionByName(_all_lines(outcome, "proposals"))
+    taken, proposed = (mt.all_lines(outcome.trans, outcome.breakups, s) for s in ("allocs", "proposals"))
+    lines = taken.unionByName(proposed)
     preview = match_preview(lines, ledger.rule.filter("delete_flag = 'N'"), job_gid)
     after_run = committed(ready, outcome, period.as_of_col, job_gid) if commit else ledger
     return RunReport(

@@ -530,6 +530,14 @@ select recon_code, count(*) as tran_count, {money("sum(excp_value)")} as excp_va
 where delete_flag = 'N' group by recon_code""",
     "preview_state": f"select t.recon_code, t.tran_gid, t.tran_date, t.excp_value {ALIVE} and t.tran_date between {START} and {END}",
     "probable_state": f"select t.recon_code, t.tran_gid, t.tran_date, t.excp_value {ALIVE}",
+    "probable_preview": f"""
+select x.recon_code, x.recon_code || x.suffix as rule_code, x.tran_gid, {money("sum(x.v)")} as proposed from (
+  select a.recon_code, '-R1' as suffix, a.tran_gid, a.tran_value as v from {{fx_parent}} a join {{fx_parent}} b
+    on a.recon_code = b.recon_code and a.ref_no = b.ref_no and a.tran_value = b.tran_value and a.dataset_code <> b.dataset_code
+  union all
+  select f.recon_code, '-R2', f.parent_gid, f.tran_value from {{fx_mtm_feed}} f
+    join (select gl as paired from {{pairs}} union all select bnk from {{pairs}}) q on f.tran_gid = q.paired) x
+join {{scope}} s on x.recon_code = s.recon_code group by x.recon_code, x.suffix, x.tran_gid""",
     "match_preview": "select * from {preview}",
     "matched_amount_report": f"""
 select job_gid, recon_code, rule_code, dataset_code, count(distinct tran_gid) as tran_count,

@@ -437,6 +437,34 @@ def probable_state(c: Case) -> DataFrame:
     return mt.probable_state(c.ledger, recons).select("recon_code", "tran_gid", "tran_date", "excp_value")
 
 
+@query
+def probable_preview(c: Case) -> DataFrame:
+    """A probable rule on trans and one on their breakups."""
+    own, split = F.col("rule_name") == "Exact", F.col("rule_name") == "Split"
+    rule = c.ledger.rule.withColumns(
+        {
+            "rule_apply_on": F.when(split, "S").otherwise(F.col("rule_apply_on")),
+            "group_flag": F.when(split, "OTO").otherwise(F.col("group_flag")),
+            "probable_match_flag": F.when(own | split, "Y").otherwise(F.col("probable_match_flag")),
+        }
+    )
+    below = c.fx["fx_mtm_feed"].select(
+        F.col("tran_gid").alias("tranbrkp_gid"),
+        F.col("parent_gid").alias("tran_gid"),
+        "recon_code",
+        F.col("dataset_code").alias("tranbrkp_dataset_code"),
+        "ref_no",
+        "tran_date",
+        "tran_acc_mode",
+        "excp_value",
+        F.lit("N").alias("delete_flag"),
+    )
+    parents = c.fx["fx_parent"].withColumn("delete_flag", F.lit("N"))
+    ledger = replace(c.ledger, rule=rule, open=parents, breakup=below)
+    lines = mt.probable_preview(ledger, PERIOD, breakup_keys=["ref_no"])
+    return lines.groupBy("recon_code", "rule_code", "tran_gid").agg(F.sum("ko_value").cast(TOTAL).alias("proposed"))
+
+
 def _preview(c: Case) -> DataFrame:
     return rn.match_preview(ko_lines(c.matched()), p.live(c.ledger.rule), job_gid=1)
 
