@@ -92,9 +92,68 @@ select page_id, payload_bytes,
 from nibbles
 """
 
+
+
+def _crc_of_nibble(c: int) -> int:
+    for _ in range(4):
+        c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+    return c
+
+
+_NIBBLES = [_crc_of_nibble(c) for c in range(16)]
+
+
+def _crc_step(c: str) -> str:
+    return f"xor(({c}) >> 4, {_NIBBLES}[(({c}) & 15) + 1])"
+
+
+OP13 = rf"""
+with recursive runs as (
+  select doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), '{UPPER}', '{LOWER}') as run
+  from documents
+),
+counted as (select doc_id, run, count(*) as n, hex(encode(doc_id::varchar || ':' || run)) as bytes from runs group by doc_id, run),
+hashed as (
+  select run, n, xor(4294967295, list_reduce(
+    [4294967295] || [('0x' || substr(bytes, 2 * i - 1, 2))::bigint for i in range(1, len(bytes) // 2 + 1)],
+    lambda c, x: {_crc_step(_crc_step("xor(c, x)"))})) as h
+  from counted
+),
+noisy as (
+  select case when h % 97 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, n
+  from hashed
+),
+words as (select word, sum(n)::bigint as n from noisy group by word having length(word) >= 5 and sum(n) >= 3),
+cuts as (select distinct word, n, i, substr(word, 1, i - 1) as head, substr(word, i + 1) as tail from words, unnest(range(1, length(word) + 1)) as r(i)),
+pairs as (
+  select a.word, b.word as other, b.n as other_n from cuts a join cuts b on a.i = b.i and a.head = b.head and a.tail = b.tail and a.word <> b.word
+  union
+  select a.word, b.word, b.n from cuts a join words b on a.head || a.tail = b.word
+  union
+  select b.word, a.word, a.n from cuts a join words b on a.head || a.tail = b.word
+),
+best as (
+  select word, count(*) as n_near, max(other_n) as most, min(other) filter (where other_n = top) as other
+  from (select *, max(other_n) over (partition by word) as top from pairs) group by word
+),
+formed as (
+  select w.word, w.n, coalesce(b.n_near, 0)::bigint as n_near,
+         case when b.most >= 2 * w.n then b.other end as form, case when b.most >= 2 * w.n then b.most end as form_n
+  from words w left join best b on b.word = w.word
+),
+chain(word, node) as (
+  select word, word from formed
+  union
+  select c.word, f.form from chain c join formed f on f.word = c.node where f.form is not null
+),
+roots as (select c.word, c.node as root from chain c join formed f on f.word = c.node where f.form is null)
+select f.word, f.n, f.n_near, f.form, f.form_n, r.root from formed f join roots r on r.word = f.word
+"""
+
 ORACLE = {
     "op1_decontamination": OP1,
     "op5_line_dedup": OP5,
     "op6_embedding_dedup": OP6,
     "op8_warc": OP8,
+    "op13_spelling_variants": OP13,
 }

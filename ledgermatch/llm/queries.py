@@ -15,6 +15,7 @@ from ledgermatch.llm.mixing import mix
 from ledgermatch.llm.passages import remove_repeats
 from ledgermatch.llm.simhash import near_duplicates
 from ledgermatch.llm.tokens import count_tokens
+from ledgermatch.llm.variants import variants
 from ledgermatch.llm.warc import read_archives, train_dictionary, write_archives
 from ledgermatch.sources.rounds import RunFolder
 
@@ -119,6 +120,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("rejected", F.col("p_toxic") >= THRESHOLD)
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = variants(table(spark, sf_dir, "documents"), letters=5, least=3, times=2)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -132,5 +138,6 @@ QUERIES = {
         op8_warc,
         op9_quality,
         op10_toxicity,
+        op13_spelling_variants,
     )
 }
