@@ -12,11 +12,13 @@ from ledgermatch.llm.contamination import contaminated, find_contamination
 from ledgermatch.llm.features import held_out
 from ledgermatch.llm.lines import LineIndex
 from ledgermatch.llm.mixing import mix
+from ledgermatch.llm.outliers import quality_rules
 from ledgermatch.llm.passages import remove_repeats
 from ledgermatch.llm.simhash import near_duplicates
 from ledgermatch.llm.tokens import count_tokens
 from ledgermatch.llm.variants import variants
 from ledgermatch.llm.warc import read_archives, train_dictionary, write_archives
+from ledgermatch.llm.whitening import whiten
 from ledgermatch.sources.rounds import RunFolder
 
 
@@ -120,6 +122,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("rejected", F.col("p_toxic") >= THRESHOLD)
 
 
+def op11_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules(table(spark, sf_dir, "documents"), least_words=10, most_repeats=20)
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return found.select("doc_id", *counts, "base_failed", "kept", "distance")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), most=16)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = variants(table(spark, sf_dir, "documents"), letters=5, least=3, times=2)
     return found.select("word", "form", "root", "n", "n_near", "form_n")
@@ -138,6 +150,8 @@ QUERIES = {
         op8_warc,
         op9_quality,
         op10_toxicity,
+        op11_outliers,
+        op12_whitening,
         op13_spelling_variants,
     )
 }
