@@ -9,7 +9,7 @@ part) and ``tolerance``. Nothing pairs rows one by one: ranks and totals say wha
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermatch.functions.money import MONEY
@@ -44,12 +44,92 @@ def _finish(df: DataFrame, take: Column, residue: Column, seed: Column, scratch:
     ).drop(*scratch)
 
 
-def one_to_one(df: DataFrame, groups: Groups, tolerance: bool) -> DataFrame:
+def _within(distance: Column, opposite: Column) -> Column:
+    return F.when(opposite & (distance <= (F.col("tolerance") * 100).cast("long")), distance)
+
+
+def _nearest_mates(df: DataFrame) -> DataFrame:
+    """Add ``_mate``: the nearest amount of the other side, if this one is its nearest too."""
+    here, side = F.col("_left"), F.col("side")
+    down = _within(here - F.col("_lo.c"), F.col("_lo.s") != side)
+    up = _within(F.col("_hi.c") - here, F.col("_hi.s") != side)
+    # The neighbour's other choice is on this row's side, or it is none.
+    down2 = _within(F.col("_lo.c") - F.col("_lo2.c2"), F.col("_lo2.s2") == side)
+    up2 = _within(F.col("_hi2.c2") - F.col("_hi.c"), F.col("_hi2.s2") == side)
+    df = df.withColumns({"_down": down, "_up": up, "_down2": down2, "_up2": up2})
+    d, u, d2, u2 = (F.col(c) for c in ("_down", "_up", "_down2", "_up2"))
+    # Equal distances go to the lower amount.
+    to_lo = d.isNotNull() & (u.isNull() | (d <= u)) & (d2.isNull() | (d < d2))
+    to_hi = u.isNotNull() & (d.isNull() | (u < d)) & (u2.isNull() | (u <= u2))
+    df = df.withColumn("_mate", F.when(to_lo, F.col("_lo")).when(to_hi, F.col("_hi")))
+    return df.drop("_lo", "_lo2", "_hi", "_hi2", "_down", "_up", "_down2", "_up2")
+
+
+def _chain_mates(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``_mate`` for whole chains of amounts.
+
+    Think of the amounts of a key in order, with an edge between neighbours of different sides that are
+    within tolerance. A round takes the edges that are shorter than those next to them (of equal ones the
+    lower). Along a slope of ever longer edges every second one would have its turn, a round each: once
+    the edges before it are gone, the next edge is the shortest there. So an edge an even number of
+    places up from the shortest, on each slope it belongs to, is taken at once. Where that is not
+    certain the slope is left to later rounds: if an edge is longer than the two before it together (a pair
+    across the gap may come first), or if amounts of the slope have different numbers of rows.
+    """
+    amount, side = F.col("_left"), F.col("side")
+    ordered = Window.partitionBy(*keys).orderBy(amount.asc())
+    lower = ordered.rangeBetween(Window.unboundedPreceding, -1)
+    higher = ordered.rangeBetween(1, Window.unboundedFollowing)
+    so_far = ordered.rangeBetween(Window.unboundedPreceding, 0)
+    from_here = ordered.rangeBetween(0, Window.unboundedFollowing)
+    here = F.dense_rank().over(ordered)
+
+    def level(*columns: Column) -> Column:
+        return F.when(amount.isNotNull(), F.struct(amount.alias("c"), *columns))
+
+    def below(name: str) -> Column:
+        return F.max(level(F.col(name).alias("x"))).over(lower).getField("x")
+
+    def above(name: str) -> Column:
+        return F.min(level(F.col(name).alias("x"))).over(higher).getField("x")
+
+    own = level(side.alias("s"), F.col("_n").alias("n"))
+    df = df.withColumns({"_lo": F.max(own).over(lower), "_hi": F.min(own).over(higher), "_at": here})
+    # The edge of a row goes down to the next lower amount; the edge above it is that of the next higher one.
+    df = df.withColumns(
+        {
+            "_edge": _within(amount - F.col("_lo.c"), F.col("_lo.s") != side),
+            "_edge_a": _within(F.col("_hi.c") - amount, F.col("_hi.s") != side),
+        }
+    )
+    df = df.withColumns({"_edge_b": below("_edge"), "_edge_aa": above("_edge_a")}).withColumn("_edge_bb", below("_edge_b"))
+    edge, at = F.col("_edge"), F.col("_at")
+    rising = F.coalesce(F.col("_edge_b") <= edge, F.lit(False))
+    falling = F.coalesce(F.col("_edge_a") < edge, F.lit(False))
+    df = df.withColumns(
+        {"_foot_b": F.max(F.when(~rising, at)).over(so_far), "_foot_a": F.min(F.when(~falling, at)).over(from_here)}
+    )
+    up_from, down_from = at - F.col("_foot_b"), F.col("_foot_a") - at
+    uneven = F.col("_n") != F.col("_lo.n")
+    open_b = uneven | ((up_from > 1) & (up_from % 2 == 0) & (edge > F.col("_edge_b") + F.col("_edge_bb")))
+    open_a = uneven | ((down_from > 1) & (down_from % 2 == 0) & (edge > F.col("_edge_a") + F.col("_edge_aa")))
+    df = df.withColumns({"_open_b": F.max(F.when(open_b, at)).over(so_far), "_open_a": F.min(F.when(open_a, at)).over(from_here)})
+    sure_b = (up_from == 0) | ((up_from % 2 == 0) & F.coalesce(F.col("_open_b") < F.col("_foot_b"), F.lit(True)))
+    sure_a = (down_from == 0) | ((down_from % 2 == 0) & F.coalesce(F.col("_open_a") > F.col("_foot_a"), F.lit(True)))
+    df = df.withColumn("_taken", edge.isNotNull() & sure_b & sure_a).withColumn("_taken_a", above("_taken"))
+    mate = F.when(F.col("_taken"), F.col("_lo")).when(F.col("_taken_a"), F.col("_hi"))
+    scratch = ["_at", "_lo", "_hi", "_taken", "_taken_a"]
+    scratch += [f"_{n}" for n in ("edge", "edge_a", "edge_aa", "edge_b", "edge_bb", "foot_a", "foot_b", "open_a", "open_b")]
+    return df.withColumn("_mate", mate).drop(*scratch)
+
+
+def one_to_one(df: DataFrame, groups: Groups, tolerance: bool, chains: bool = False) -> DataFrame:
     """Pair rows of equal key and amount by rank, oldest with oldest.
 
     With ``tolerance``, amounts left on one side only are then paired with the nearest amount of
     the other side, if each is the other's nearest; the smaller is knocked off on both sides. What
-    is left over may pair in a further round.
+    is left over may pair in a further round. With ``chains`` those pairs of further rounds that are
+    already certain are made at once (not in groups cut into chunks, which keep to a pair a round).
     """
     keys = groups.keys
     cents = (F.col("open_value") * 100).cast("long")
@@ -74,32 +154,19 @@ def one_to_one(df: DataFrame, groups: Groups, tolerance: bool) -> DataFrame:
             "_rank": F.col("_before") - pairs,
         }
     )
-    df = groups.neighbours(df)
-    allowed = (F.col("tolerance") * 100).cast("long")
-    here, side = F.col("_left"), F.col("side")
-
-    def within(distance: Column, opposite: Column) -> Column:
-        return F.when(opposite & (distance <= allowed), distance)
-
-    down = within(here - F.col("_lo.c"), F.col("_lo.s") != side)
-    up = within(F.col("_hi.c") - here, F.col("_hi.s") != side)
-    # The neighbour's other choice is on this row's side, or it is none.
-    down2 = within(F.col("_lo.c") - F.col("_lo2.c2"), F.col("_lo2.s2") == side)
-    up2 = within(F.col("_hi2.c2") - F.col("_hi.c"), F.col("_hi2.s2") == side)
-    df = df.withColumns({"_down": down, "_up": up, "_down2": down2, "_up2": up2})
-    d, u, d2, u2 = (F.col(c) for c in ("_down", "_up", "_down2", "_up2"))
-    # Equal distances go to the lower amount.
-    to_lo = d.isNotNull() & (u.isNull() | (d <= u)) & (d2.isNull() | (d < d2))
-    to_hi = u.isNotNull() & (d.isNull() | (u < d)) & (u2.isNull() | (u <= u2))
-    df = df.withColumn("_mate", F.when(to_lo, F.col("_lo")).when(to_hi, F.col("_hi")))
+    if chains and isinstance(groups, WindowGroups):
+        df = _chain_mates(df, keys)
+    else:
+        df = _nearest_mates(groups.neighbours(df))
     # least() skips nulls, so a row without a mate is ruled out first.
     near = F.coalesce(F.col("_mate").isNotNull() & (F.col("_rank") < F.least("_n", "_mate.n")), F.lit(False))
+    here = F.col("_left")
     gap = here - F.col("_mate.c")
     take = F.when(F.col("_exact"), F.col("open_value")).when(near, _money(F.least(here, F.col("_mate.c"))))
     residue = F.when(near & ~F.col("_exact") & (gap > 0), _money(gap)).otherwise(_zero())
     near_seed = _seed(F.lit("~"), F.least(here, F.col("_mate.c")), F.col("_rank"))
     seed = F.when(F.col("_exact"), seed).otherwise(near_seed)
-    scratch += ["_exact", "_left", "_n", "_rank", "_lo", "_lo2", "_hi", "_hi2", "_down", "_up", "_down2", "_up2", "_mate"]
+    scratch += ["_exact", "_left", "_n", "_rank", "_mate"]
     return _finish(df, take, residue, seed, scratch)
 
 

@@ -170,10 +170,10 @@ def _with_rule(df: DataFrame, step: Step) -> DataFrame:
     )
 
 
-def _run_step(df: DataFrame, step: Step, groups, round_no: int, number: int, job_gid: int) -> DataFrame:
+def _run_step(df: DataFrame, step: Step, groups, round_no: int, number: int, job_gid: int, chains: bool) -> DataFrame:
     df = _with_rule(df, step)
     if step.kind == "OTO":
-        df = one_to_one(df, groups, step.tolerance)
+        df = one_to_one(df, groups, step.tolerance, chains)
     elif step.kind == "PARTIAL":
         df = partial(df, groups)
     elif step.kind in ("OTM", "MTM"):
@@ -185,7 +185,13 @@ def _run_step(df: DataFrame, step: Step, groups, round_no: int, number: int, job
 
 
 def _run_steps(
-    state: DataFrame, steps: Sequence[tuple[int, Step]], round_no: int, hot_rows: int, folder: RunFolder, job_gid: int
+    state: DataFrame,
+    steps: Sequence[tuple[int, Step]],
+    round_no: int,
+    hot_rows: int,
+    folder: RunFolder,
+    job_gid: int,
+    chains: bool,
 ) -> DataFrame:
     """Steps with the same keys. Rows that cannot take part stay out of the shuffle. Rows match only
     rows whose open value has the same sign, which is a key like the others."""
@@ -208,7 +214,7 @@ def _run_steps(
     for groups, part in split_by_size(players, [*keys, "_sign"], folder, hot_rows):
         part = groups.prepare(part)
         for number, step in steps:
-            part = _run_step(part, step, groups, round_no, number, job_gid)
+            part = _run_step(part, step, groups, round_no, number, job_gid, chains)
         result = result.unionByName(part.select(*columns))
     return result
 
@@ -272,18 +278,21 @@ def run_rules(
     hot_rows: int = HOT_ROWS,
     folder: RunFolder | None = None,
     job_gid: int = 0,
+    settle: bool = True,
+    chains: bool = False,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Apply the rules once, in order; return the new state of trans and breakups.
 
     A tran used up by one rule is out of reach for the next, and so are its breakups. Steps on the same keys share one
-    shuffle. Between stretches on different keys the state is written to the run's folder.
+    shuffle. Between stretches on different keys the state is written to the run's folder. With ``settle``
+    breakups end with what their parents have left; without, the caller does that once after its last round.
     """
     state = with_state(trans)
     sub = with_state(breakups) if breakups is not None else None
     folder = folder or RunFolder(state.sparkSession)
     classes = key_classes(rules)
     if len(classes) < 2:
-        return _run_class(state, sub, rules, round_no, hot_rows, folder, job_gid)
+        return _run_class(state, sub, rules, round_no, hot_rows, folder, job_gid, settle, chains)
     # Several classes read the state; it is written once, and each then writes its own rows only.
     state = folder.scratch(state)
     sub = folder.scratch(sub) if sub is not None else None
@@ -292,7 +301,7 @@ def run_rules(
     trans_parts, sub_parts = [state.filter(rest)], [sub.filter(rest)] if sub is not None else []
     for own, mine in zip(classes, done, strict=True):
         below = sub.filter(mine) if sub is not None else None
-        part, below = _run_class(state.filter(mine), below, own, round_no, hot_rows, folder, job_gid)
+        part, below = _run_class(state.filter(mine), below, own, round_no, hot_rows, folder, job_gid, settle, chains)
         trans_parts.append(part)
         sub_parts += [below] if below is not None else []
     together = reduce(DataFrame.unionByName, trans_parts)
@@ -307,32 +316,61 @@ def _run_class(
     hot_rows: int,
     folder: RunFolder,
     job_gid: int,
+    settle: bool,
+    chains: bool,
 ) -> tuple[DataFrame, DataFrame | None]:
     """The rules of recons with the same sequence of keys, stretch by stretch."""
     steps = list(enumerate(plan_steps(rules), start=1))
     stretches = [(k, list(g)) for k, g in groupby(steps, key=lambda s: (s[1].apply_on, s[1].keys))]
     for place, ((apply_on, _), stretch) in enumerate(stretches):
         if apply_on == "T":
-            state = _run_steps(state, stretch, round_no, hot_rows, folder, job_gid)
+            state = _run_steps(state, stretch, round_no, hot_rows, folder, job_gid, chains)
         elif apply_on == "S" and sub is not None:
             sub = within_parents(sub, state, hot_rows, folder)
-            sub = _run_steps(sub, stretch, round_no, hot_rows, folder, job_gid)
+            sub = _run_steps(sub, stretch, round_no, hot_rows, folder, job_gid, chains)
             sub = folder.scratch(sub)
             state = _roll_up(state, sub, round_no, [n for n, _ in stretch])
         if place + 1 < len(stretches):
             state = folder.scratch(state)
+    if settle and sub is not None and stretches and stretches[-1][0][0] == "T":
+        state = folder.scratch(state)
+        sub = within_parents(sub, state, hot_rows, folder)
     return state, sub
 
 
+RECON_ROUNDS = StructType().add("recon_code", "string").add("rounds", "integer").add("converged", "boolean")
+
+
 @dataclass(frozen=True)
 class Stable:
-    """Outcome of a run; ``converged`` if its last round matched nothing."""
+    """Outcome of a run; ``converged`` if its last round matched nothing. ``recons`` has, for each recon
+    with rules, the rounds it took part in and whether the last of them matched nothing."""
 
     trans: DataFrame
     breakups: DataFrame | None
     rounds: int
     converged: bool
     refused: DataFrame | None = None
+    recons: DataFrame | None = None
+
+
+def frontier(state: DataFrame, changed: DataFrame, rules: Sequence[Rule], folder: RunFolder) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``state`` whose match group under some rule has a row in ``changed``, and the others. What
+    a rule finds in a group it has seen before depends on the group's rows only, so the others need no
+    further round until a row of theirs changes."""
+    own, others = None, state
+    for keys in sorted({r.keys for r in rules}):
+        group = ["recon_code", *keys]
+        touched = folder.scratch(changed.select(*group).dropna().distinct())
+        part = others.join(touched, group, "left_semi").select(*state.columns)
+        others = others.join(touched, group, "left_anti").select(*state.columns)
+        own = part if own is None else own.unionByName(part)
+    return own, others
+
+
+def _recons(*parts: DataFrame | None) -> set[str]:
+    """Recon codes of some rows: as many as there are recons, which are configuration."""
+    return {r[0] for df in parts if df is not None for r in df.select("recon_code").distinct().collect()}
 
 
 def match_until_stable(
@@ -342,40 +380,65 @@ def match_until_stable(
     max_rounds: int | None = None,
     hot_rows: int = HOT_ROWS,
     job_gid: int = 0,
+    chains: bool = False,
 ) -> Stable:
     """Repeat :func:`run_rules` until a round matches nothing, that is, until count and value of
     the open trans no longer change. Each round but the last matches something, so it comes to an end
-    by itself; ``max_rounds`` may end it sooner.
+    by itself; ``max_rounds`` may end it sooner. With ``chains`` a round pairs whole chains of amounts
+    within tolerance instead of their first pair.
 
-    Each round is written to the shared folder. Closed rows do not go into the next round. Proposals are
-    those of the last round: each round makes its own, on what the rounds before have left.
+    Each round is written to the shared folder. A round takes up only what may match now: closed rows stay
+    out, recons leave once a round has matched nothing of theirs, and after the first round only match
+    groups in which something changed go on (all open rows of a recon if rules apply to breakups, whose
+    values depend on their parents'). Proposals are those of the last round that a row took part in.
     """
     folder = RunFolder(trans.sparkSession)
-    state, sub = trans, breakups
-    closed: list[DataFrame] = []
-    closed_sub: list[DataFrame] = []
+    state = trans
+    sub = breakups if breakups is not None and any(r.apply_on == "S" for r in rules) else None
+    running, done = sorted({r.recon_code for r in rules}), []
+    parts: list[DataFrame] = []
+    sub_parts: list[DataFrame] = []
+    resting: DataFrame | None = None
     for round_no in count(1):
-        state, sub = run_rules(state, rules, sub, round_no, hot_rows, folder, job_gid)
+        now = [r for r in rules if r.recon_code in running]
+        state, sub = run_rules(state, now, sub, round_no, hot_rows, folder, job_gid, settle=False, chains=chains)
         state = folder.table(state, f"round={round_no}/trans")
+        sub = folder.table(sub, f"round={round_no}/breakups") if sub is not None else None
         new = F.exists("allocs", lambda a: a.getField("round") == round_no)
-        changed = not state.filter(new).isEmpty()
-        if sub is not None:
-            sub = folder.table(sub, f"round={round_no}/breakups")
-            changed = changed or not sub.filter(new).isEmpty()
-        if not changed or round_no == max_rounds:
+        changed = state.filter(new)
+        still = _recons(changed, sub.filter(new) if sub is not None else None)
+        done += [(r, round_no, True) for r in running if r not in still]
+        running = sorted(still)
+        if not running or round_no == max_rounds:
             break
-        state = without_proposals(state)
-        closed.append(state.filter(~still_open()))
-        state = state.filter(still_open())
+        on = F.coalesce(F.col("recon_code").isin(running), F.lit(False))
+        parts.append(state.filter(~on))
+        parts.append(without_proposals(state.filter(on & ~still_open())))
+        state = state.filter(on & still_open())
         if sub is not None:
-            sub = without_proposals(sub)
-            closed_sub.append(sub.filter(~still_open()))
-            sub = sub.filter(still_open())
-    for part in closed:
+            sub_parts.append(sub.filter(~on))
+            sub_parts.append(without_proposals(sub.filter(on & ~still_open())))
+            sub, state = without_proposals(sub.filter(on & still_open())), without_proposals(state)
+            continue
+        now = [r for r in now if r.recon_code in still]
+        pool = state if resting is None else state.unionByName(resting)
+        state, resting = frontier(pool, changed, now, folder)
+        state = without_proposals(state)
+        if len({r.keys for r in now}) == 1:
+            # Groups do not overlap, so those without a change never get one.
+            parts.append(resting)
+            resting = None
+        else:
+            resting = folder.table(resting, f"round={round_no}/resting")
+    done += [(r, round_no, False) for r in running]
+    for part in [*parts, *([] if resting is None else [resting])]:
         state = state.unionByName(part)
-    for part in closed_sub:
+    for part in sub_parts:
         sub = sub.unionByName(part)
-    return Stable(state, sub, round_no, not changed)
+    if breakups is not None:
+        sub = within_parents(with_state(breakups) if sub is None else sub, state, hot_rows, folder)
+    recons = local_table(trans.sparkSession, sorted(done), RECON_ROUNDS)
+    return Stable(state, sub, round_no, not running, recons=recons)
 
 
 def configured_date_filter(trans: DataFrame, recons: DataFrame, period: Period, fields: Sequence[str]) -> DataFrame:
@@ -472,10 +535,13 @@ def match(
     until_stable: bool = False,
     breakup_keys: Sequence[str] = (),
     job_gid: int = 0,
+    chains: bool = True,
 ) -> Stable:
-    """One run over the eligible recons. ``commit=False`` previews: every rule only proposes, on a
+    """One run over the eligible recons, or, with ``until_stable``, rounds of it; these pair whole chains
+    of amounts within tolerance unless ``chains`` is off. ``commit=False`` previews: every rule only proposes, on a
     working copy that the next rule finds changed; read the proposals with ``ko_lines``. A recon whose
-    date column does not exist is refused, the others run."""
+    date column does not exist is refused, the others run. Breakups are in the outcome whether or not a rule
+    applies to them, with no more value than their parents have left."""
     recons, refused = dated(eligible_recons(ledger, period.as_of_col, codes), ledger.open.columns)
     rules = load_rules(ledger, period.as_of_col, recons)
     if commit:
@@ -483,10 +549,10 @@ def match(
     else:
         trans = preview_state(ledger, recons, period)
         rules = [replace(r, commit=True, probable=False) for r in rules]
-    needed = any(r.apply_on == "S" for r in rules)
-    breakups = as_breakups(ledger.breakup, breakup_keys, trans) if needed else None
-    if until_stable and commit:
-        return replace(match_until_stable(trans, rules, breakups, job_gid=job_gid), refused=refused)
+    breakups = as_breakups(ledger.breakup, breakup_keys, trans)
+    if until_stable:
+        stable = match_until_stable(trans, rules, breakups, job_gid=job_gid, chains=chains)
+        return replace(stable, refused=refused)
     state, sub = run_rules(trans, rules, breakups, job_gid=job_gid)
     return Stable(state, sub, 1, False, refused)
 

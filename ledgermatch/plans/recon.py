@@ -8,6 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgermatch.functions.predicates import live
 from ledgermatch.operators.keys import key_normalise
 from ledgermatch.operators.scope import eligible_recons
 from ledgermatch.operators.state import ko_tables, state_split
@@ -79,6 +80,20 @@ def _left_of(breakups: DataFrame, state: DataFrame | None) -> DataFrame:
     )
 
 
+def _fed(
+    ready: Ledger, outcome: mt.Stable, after_run: Ledger, running: DataFrame, period: Period, commit: bool
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Trans before and after a run, and breakups before and after it: those of the tables, or of the
+    copies that a preview works on."""
+    if commit:
+        names = running.select("recon_code")
+        own = [live(df).join(names, "recon_code", "left_semi") for df in (ready.open, ready.breakup, after_run.breakup)]
+        return own[0], outcome.trans, own[1], own[2]
+    trans = mt.preview_state(ready, running, period)
+    breakups = live(ready.breakup).join(trans.select("tran_gid"), "tran_gid", "left_semi")
+    return trans, outcome.trans, breakups, outcome.breakups.withColumnRenamed("dataset_code", "tranbrkp_dataset_code")
+
+
 def run_recon(
     ledger: Ledger,
     period: Period,
@@ -113,18 +128,11 @@ def run_recon(
         trans=keep.table(outcome.trans, "trans"),
         breakups=None if outcome.breakups is None else keep.table(outcome.breakups, "breakups"),
     )
-    seen = outcome.trans.select("tran_gid")
-    before = ready.open.join(seen, "tran_gid", "left_semi")
-    breakups: tuple[DataFrame, ...] = ()
-    if outcome.breakups is not None:
-        own = outcome.breakups.select(F.col("tran_gid").alias("tranbrkp_gid"))
-        after = outcome.breakups.withColumnRenamed("dataset_code", "tranbrkp_dataset_code")
-        breakups = (ready.breakup.join(own, "tranbrkp_gid", "left_semi"), after)
-    stats = run_stats(before, outcome.trans, *breakups, automatch_flag="Y" if commit else "N")
+    after_run = committed(ready, outcome, period.as_of_col, job_gid) if commit else ledger
+    stats = run_stats(*_fed(ready, outcome, after_run, running, period, commit), automatch_flag="Y" if commit else "N")
     taken, proposed = (mt.all_lines(outcome.trans, outcome.breakups, s) for s in ("allocs", "proposals"))
     lines = taken.unionByName(proposed)
     preview = match_preview(lines, ledger.rule.filter("delete_flag = 'N'"), job_gid)
-    after_run = committed(ready, outcome, period.as_of_col, job_gid) if commit else ledger
     return RunReport(
         outcome,
         after_run,

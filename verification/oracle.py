@@ -297,14 +297,19 @@ from {ranked} a join {ranked} b on a.recon_code = b.recon_code and a.ref_no = b.
 select * from (
   select *, row_number() over (partition by recon_code, ref_no, tran_value, dataset_code order by tran_date, tran_gid) as rest
   from {fx_mtm_feed} f anti join (select gl as paired from {pairs} union all select bnk from {pairs}) p on f.tran_gid = p.paired)""",
-    # Nearest amount of the other side, by trying all of them.
+    # Nearest amount of the other side: the last one before or the first one after, in order of amounts.
+    "around": """
+select recon_code, ref_no, dataset_code, v,
+  max(case when dataset_code = 'BNK' then v end) over before as low_b, max(case when dataset_code = 'GL' then v end) over before as low_g,
+  min(case when dataset_code = 'BNK' then v end) over after as high_b, min(case when dataset_code = 'GL' then v end) over after as high_g
+from (select distinct recon_code, ref_no, dataset_code, tran_value as v from {lone})
+window before as (partition by recon_code, ref_no order by v, dataset_code rows between unbounded preceding and current row),
+  after as (partition by recon_code, ref_no order by v, dataset_code rows between current row and unbounded following)""",
     "nearest": """
-select recon_code, ref_no, dataset_code, v, w from (
-  select a.*, b.v as w, row_number() over (partition by a.recon_code, a.ref_no, a.dataset_code, a.v order by abs(a.v - b.v), b.v) as n
-  from (select distinct recon_code, ref_no, dataset_code, tran_value as v from {lone}) a
-  join (select distinct recon_code, ref_no, dataset_code, tran_value as v from {lone}) b
-    on a.recon_code = b.recon_code and a.ref_no = b.ref_no and a.dataset_code <> b.dataset_code and abs(a.v - b.v) <= 2500)
-where n = 1""",
+select recon_code, ref_no, dataset_code, v, case when high is null or v - low <= high - v then low else high end as w
+from (select *, case dataset_code when 'GL' then low_b else low_g end as low, case dataset_code when 'GL' then high_b else high_g end as high
+  from {around})
+where least(coalesce(v - low, high - v), coalesce(high - v, v - low)) <= 2500""",
     "mates": """
 select a.recon_code, a.ref_no, a.v as gl_v, a.w as bnk_v from {nearest} a join {nearest} b
   on a.recon_code = b.recon_code and a.ref_no = b.ref_no and a.v = b.w and a.w = b.v
@@ -319,6 +324,28 @@ select recon_code, ref_no, count(case when dataset_code = 'GL' then 1 end) as ng
   {sum_if("dataset_code = 'GL'", "tran_value")} as sg, {sum_if("dataset_code = 'BNK'", "tran_value")} as sb,
   min(tran_gid) as first_tran_gid, max(tran_gid) as last_tran_gid
 from {{fx_mtm_feed}} group by recon_code, ref_no""",
+    # Parents with breakups: which recons run, and what is left by order of rules (T, S then T, T then S).
+    "tallied": f"""
+select s.recon_code from {{scope}} s left join (
+  select recon_code, sum(tran_value * tran_mult) as balance from {{fx_parent}} where tran_date <= {END} group by recon_code) x
+  on s.recon_code = x.recon_code
+where not (s.recontype_code in ('W', 'B') and coalesce(x.balance, 0) <> 0)""",
+    "owned": f"""
+select o.variant, f.*, f.tran_date between {START} and {END} and r.recon_code is not null as play, o.variant <> 'T' and q.paired is not null
+    and f.tran_date between {START} and {END} and r.recon_code is not null as taken
+from {{fx_mtm_feed}} f join (select 'T' as variant union all select 'ST' union all select 'TS') o on true
+left join (select gl as paired from {{pairs}} union all select bnk from {{pairs}}) q on f.tran_gid = q.paired
+left join {{tallied}} r on f.recon_code = r.recon_code""",
+    "owned_sums": """
+select *, sum(rest) over (partition by variant, parent_gid order by tran_date, tran_gid) - rest as earlier,
+  sum(rest) over (partition by variant, parent_gid) as own,
+  least(sum(case when dataset_code = 'GL' then rest else 0 end) over (partition by variant, recon_code, ref_no),
+        sum(case when dataset_code = 'BNK' then rest else 0 end) over (partition by variant, recon_code, ref_no)) as both,
+  sum(case when dataset_code = 'GL' then tran_value else -tran_value end) over (partition by variant, recon_code, ref_no) = 0 as even
+from (select *, case when taken then 0 else tran_value end as rest from {owned})""",
+    "owned_left": """
+select *, greatest(least(rest, room - earlier), 0) as kept
+from (select *, case when not play then own when variant <> 'TS' then own - both when even then 0 else own end as room from {owned_sums})""",
     "answer": """
 select recon_code, tran_gid, dataset_code, tran_date, tran_acc_mode, tran_mult, tran_value, excp_value, roundoff_value, kind,
   recon_code || '-R' || case kind when 'EXACT' then '1' when 'SPLIT' then '2' when 'ROUNDOFF' then '3' else '4' end as rule_code
@@ -337,14 +364,14 @@ def stats_sql(source: str, dataset: str) -> str:
   count(*) as n, {money("sum(excp_value)")} as v from {source} where excp_value > 0 group by recon_code, {dataset}"""
 
 
-def run_stats_sql(before: str, after: str, dataset: str, feed: str) -> str:
+def run_stats_sql(before: str, after: str, dataset: str, feed: str, flag: str = "Y") -> str:
     columns = [("dr_count", "dr_count"), ("dr_value", "dr_value"), ("cr_count", "cr_count"), ("cr_value", "cr_value"),
                ("n", "count"), ("v", "value")]
     first = ", ".join(f"b.{c} as before_{n}" for c, n in columns)
     last = ", ".join(
         (f"{money(f'coalesce(a.{c}, 0)')}" if n.endswith("value") else f"coalesce(a.{c}, 0)") + f" as after_{n}" for c, n in columns
     )
-    return f"""select b.recon_code, b.dataset_code, '{feed}' as feed, 'Y' as automatch_flag, {first}, {last}
+    return f"""select b.recon_code, b.dataset_code, '{feed}' as feed, '{flag}' as automatch_flag, {first}, {last}
 from ({stats_sql(before, dataset)}) b left join ({stats_sql(after, dataset)}) a
   on a.recon_code = b.recon_code and a.dataset_code = b.dataset_code"""
 
@@ -354,6 +381,18 @@ def ko_row(where: str) -> str:
   cast(0 as decimal(18,2)) as roundoff_value, first_tran_gid, last_tran_gid from {{key_sums}} where sg = sb and {where}"""
 
 
+def owned_stats(flag: str, job: int) -> str:
+    """Statistics of a run with rules on breakups and then on trans."""
+    rows = "{tallied} r on x.recon_code = r.recon_code" + (f" where x.tran_date between {START} and {END}" if flag == "N" else "")
+    left = "select distinct parent_gid, recon_code, dataset_code, tran_date, tran_acc_mode, room as excp_value from {owned_left} where variant = 'ST'"
+    below = "select recon_code, dataset_code, tran_date, tran_acc_mode, kept as excp_value from {owned_left} where variant = 'ST'"
+    parts = [
+        run_stats_sql(f"(select x.* from {before} x join {rows})", f"(select x.* from ({after}) x join {rows})", "dataset_code", feed, flag)
+        for feed, before, after in (("tran", "{fx_parent}", left), ("breakup", "{fx_mtm_feed}", below))
+    ]
+    return f"select *, cast({job} as bigint) as job_gid from ({' union all '.join(parts)})"
+
+
 PAIR = f"""select recon_code, recon_code || '-M' as rule_code, cast(1 as bigint) as dr_count, {money("tran_value")} as dr_value,
   cast(1 as bigint) as cr_count, {money("tran_value")} as cr_value, cast(0 as decimal(18,2)) as roundoff_value,
   least(gl, bnk) as first_tran_gid, greatest(gl, bnk) as last_tran_gid from {{pairs}}"""
@@ -510,6 +549,18 @@ select recon_code, tran_gid,
   cast(case when place % 2 = 0 then 0.01 when last_place = place then tran_value else 0 end as decimal(15,2)) as excp_value,
   cast(case when place % 2 = 0 then 0.01 else 0 end as decimal(15,2)) as roundoff_value
 from (select *, max(place) over (partition by recon_code, ref_no) as last_place from {fx_chain})""",
+    "match_fixpoint_long_chain": """
+select recon_code, tran_gid,
+  cast(case when place % 2 = 0 then 0.01 when last_place = place then tran_value else 0 end as decimal(15,2)) as excp_value,
+  cast(case when place % 2 = 0 then 0.01 else 0 end as decimal(15,2)) as roundoff_value, cast(2 as int) as rounds
+from (select *, max(place) over (partition by recon_code, ref_no) as last_place from {fx_long_chain})""",
+    "converged_recons": f"""
+select m.recon_code, cast(1 + coalesce(x.pairs, 0) as int) as rounds, true as converged, x.excp_value
+from {{recon_mst_trecon}} m left join (
+  select recon_code, max(last_place // 2) as pairs,
+    {money("sum(case when place % 2 = 0 then 0.01 when last_place = place then tran_value else 0 end)")} as excp_value
+  from (select *, max(place) over (partition by recon_code, ref_no) as last_place from {{fx_recon_chain}}) group by recon_code) x
+on m.recon_code = x.recon_code""",
     "match_reversals": """
 select f.recon_code, f.tran_gid, cast(-f.tran_value as decimal(15,2)) as tran_value,
   cast(case when a.kind = 'EXACT' then 0 else -f.tran_value end as decimal(15,2)) as excp_value
@@ -597,6 +648,29 @@ select recon_code, tran_gid, excp_value, case when excp_value = 0 then 'matched'
 from (select t.recon_code, t.tran_gid, t.tran_value, case when s.recontype_code not in ('W', 'B') and t.delete_flag = 'N'
     and t.tran_date between {START} and {END} then a.excp_value else t.tran_value end as excp_value
   from {{fx_open}} t left join {{scope}} s on t.recon_code = s.recon_code left join {{answer}} a on t.tran_gid = a.tran_gid)""",
+    "committed_breakups": f"""
+select variant, tran_gid as tranbrkp_gid, cast(kept as decimal(15,2)) as excp_value, {money("room")} as parent_value from {{owned_left}}""",
+    "run_stats_both_modes": f"{owned_stats('Y', 7)} union all {owned_stats('N', 8)}",
+    "run_stats_replaced": f"""
+select b.recon_code, b.dataset_code, j.job as job_gid, b.n as before_count, {money("b.v")} as before_value, coalesce(a.n, 0) as after_count
+from (select cast(1 as bigint) as job union all select 2) j
+join (select 1 as job, * from ({stats_sql("{fx_feed}", "dataset_code")}) union all
+      select 2, * from ({stats_sql("{answer}", "dataset_code")})) b on b.job = j.job
+left join ({stats_sql("{answer}", "dataset_code")}) a on a.recon_code = b.recon_code and a.dataset_code = b.dataset_code
+where j.job = 2 or b.dataset_code = 'BNK' and b.recon_code < 'RC2'""",
+    "uncommitted_preview": f"""
+select cast(9 as bigint) as job_gid, x.recon_code, x.recon_code || x.suffix as rule_code, x.rule_name, x.rule_order, x.dataset_code, x.tran_gid,
+  x.tran_date, x.tran_acc_mode, cast(x.v as decimal(15,2)) as ko_value, x.tran_mult as ko_mult, cast(0 as decimal(15,2)) as roundoff_value
+from (
+  select f.recon_code, '-R2' as suffix, 'Split' as rule_name, cast(2 as decimal(9,2)) as rule_order, f.dataset_code, f.parent_gid as tran_gid,
+    f.tran_date, f.tran_acc_mode, f.tran_value as v, f.tran_mult
+  from {{fx_mtm_feed}} f join {{key_sums}} k on f.recon_code = k.recon_code and f.ref_no = k.ref_no
+  where k.sg = k.sb and k.ng + k.nb > 2
+  union all
+  select f.recon_code, '-R4', 'Partial', cast(4 as decimal(9,2)), f.dataset_code, f.tran_gid, f.tran_date, f.tran_acc_mode, least(k.sg, k.sb), f.tran_mult
+  from {{fx_parent}} f join {{key_sums}} k on f.recon_code = k.recon_code and f.ref_no = k.ref_no
+  where not (k.sg = k.sb and k.ng + k.nb > 2) and k.ng > 0 and k.nb > 0) x
+join {{scope}} s on x.recon_code = s.recon_code where x.tran_date between {START} and {END}""",
     "theme_tag": f"""
 select t.recon_code, t.tran_gid, case when not {NET} then t.theme_code when t.excp_value < t.tran_value then 'PARTLY'
   when t.excp_value >= 300000 then 'LARGE' when date_diff('day', t.tran_date, {AS_OF}) > 365 then 'AGED' else t.theme_code

@@ -24,6 +24,7 @@ from ledgermatch.plans import runs as rn
 from ledgermatch.plans import summary as sm
 from ledgermatch.plans import values as vl
 from ledgermatch.sources.fixtures import Fixtures
+from ledgermatch.sources.rounds import RunFolder
 
 PERIOD = Period(dt.date(1997, 1, 1), dt.date(1997, 12, 31), dt.date(1998, 1, 1))
 UNIT = "L"
@@ -376,6 +377,21 @@ def match_fixpoint_chain(c: Case) -> DataFrame:
     return stable.trans.select("recon_code", "tran_gid", "excp_value", "roundoff_value")
 
 
+@query
+def match_fixpoint_long_chain(c: Case) -> DataFrame:
+    """Chains of 120 amounts, paired whole: a round that matches, and one that finds nothing more."""
+    stable = mt.match_until_stable(c.fx["fx_long_chain"], _rules(c, tolerance=Decimal("0.01")), chains=True)
+    return stable.trans.select("recon_code", "tran_gid", "excp_value", "roundoff_value", F.lit(stable.rounds).alias("rounds"))
+
+
+@query
+def converged_recons(c: Case) -> DataFrame:
+    """Chains whose length depends on the recon, a pair a round: recons leave the loop one after the other."""
+    stable = mt.match_until_stable(c.fx["fx_recon_chain"], _rules(c, tolerance=Decimal("0.01")))
+    left = stable.trans.groupBy("recon_code").agg(F.sum(F.col("excp_value")).cast(TOTAL).alias("excp_value"))
+    return stable.recons.join(left, "recon_code", "left")
+
+
 @query
 def match_reversals(c: Case) -> DataFrame:
     feed = c.fx["fx_feed"].withColumns({v: (-F.col(v)).cast("decimal(15,2)") for v in ("tran_value", "excp_value")})
@@ -556,6 +572,84 @@ def committed_tables(c: Case) -> DataFrame:
     return still.unionByName(gone).join(kos, "tran_gid", "left")
 
 
+def _owned(c: Case, variant: str) -> rc.Ledger:
+    """Parents with the feed's rows as breakups, and rules on trans only (T), on breakups and then on
+    trans (ST), or on trans and then on breakups (TS)."""
+    # rule name: what it applies to
+    plan = {"T": {"Partial": "T"}, "ST": {"Exact": "S", "Partial": "T"}, "TS": {"Exact": "T", "Split": "S"}, "P": {"Split": "S", "Partial": "T"}}[variant]
+    name = F.col("rule_name")
+    applies = F.coalesce(*[F.when(name == n, F.lit(on)) for n, on in plan.items()])
+    flag = F.when(name == "Split", "MTM" if variant == "P" else "OTO").otherwise(F.col("group_flag"))
+    rule = c.ledger.rule.filter(name.isin(*plan)).withColumns({"rule_apply_on": applies, "group_flag": flag})
+    more = {"theme_code": F.lit("OLD"), "delete_flag": F.lit("N")}
+    below = c.fx["fx_mtm_feed"].select(
+        F.col("tran_gid").alias("tranbrkp_gid"),
+        F.col("parent_gid").alias("tran_gid"),
+        "recon_code",
+        F.col("dataset_code").alias("tranbrkp_dataset_code"),
+        "ref_no",
+        "tran_date",
+        "tran_acc_mode",
+        "excp_value",
+    )
+    parents = c.fx["fx_parent"].withColumns(more)
+    none = {"matched": parents.limit(0), "ko": c.ledger.ko.limit(0), "ko_line": c.ledger.ko_line.limit(0)}
+    return replace(c.ledger, rule=rule, open=parents, breakup=below.withColumns(more), **none)
+
+
+@query
+def committed_breakups(c: Case) -> DataFrame:
+    """Breakups and what their parents have left, after runs with rules on trans only, last or first."""
+    runs = []
+    for variant, stable in (("T", False), ("ST", True), ("TS", False)):
+        after = rc.run_recon(_owned(c, variant), PERIOD, 7, until_stable=stable, breakup_keys=["ref_no"]).ledger
+        parents = after.open.select("tran_gid", F.col("excp_value").alias("parent_value"))
+        rows = after.breakup.join(parents, "tran_gid", "left").select(
+            F.lit(variant).alias("variant"),
+            "tranbrkp_gid",
+            "excp_value",
+            F.coalesce("parent_value", F.lit(0)).cast(TOTAL).alias("parent_value"),
+        )
+        runs.append(rows)
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
+
+
+@query
+def run_stats_both_modes(c: Case) -> DataFrame:
+    """Statistics of a committing run and of a preview, breakups that change included, as they stand in the
+    table of statistics."""
+    ledger, folder = _owned(c, "ST"), f"{RunFolder(c.fx.spark).path}/statistics"
+    for job, commit in ((7, True), (8, False)):
+        stats = rc.run_recon(ledger, PERIOD, job, commit=commit, breakup_keys=["ref_no"]).stats
+        rn.replace_run_stats(stats, folder, ledger, stats.select("recon_code").distinct(), "Y" if commit else "N")
+    return c.fx.spark.read.parquet(folder)
+
+
+@query
+def run_stats_replaced(c: Case) -> DataFrame:
+    """Statistics after a run, and after another one before which a dataset was retired: its old rows stay."""
+    spark, ledger, folder = c.fx.spark, c.ledger, f"{RunFolder(c.fx.spark).path}/statistics"
+    used = ledger.recon_dataset
+    retired = used.withColumn("delete_flag", F.when((F.col("dataset_code") == "BNK") & (F.col("recon_code") < "RC2"), "Y").otherwise(F.col("delete_flag")))
+    matched = c.matched()
+    for job, datasets, feed in ((1, used, c.fx["fx_feed"]), (2, retired, matched)):
+        stats = rn.run_stats(feed, matched).withColumn("job_gid", F.lit(job).cast("bigint"))
+        rn.replace_run_stats(stats, folder, replace(ledger, recon_dataset=datasets), c.scope, "Y")
+    return spark.read.parquet(folder).select("recon_code", "dataset_code", "job_gid", "before_count", "before_value", "after_count")
+
+
+@query
+def uncommitted_preview(c: Case) -> DataFrame:
+    """What ``commit=False`` proposes, with a many-to-many rule on breakups and a one-to-one rule with partial
+    values on trans, as read back from the CSV files."""
+    ledger = _owned(c, "P")
+    outcome = mt.match(ledger, PERIOD, commit=False, breakup_keys=["ref_no"])
+    lines = mt.all_lines(outcome.trans, outcome.breakups)
+    preview = rn.match_preview(lines, p.live(ledger.rule), job_gid=9)
+    path = rn.write_preview(preview, RunFolder(c.fx.spark).path, 9)
+    return c.fx.spark.read.schema(preview.schema).option("header", True).csv(path).drop("ko_gid")
+
+
 @query
 def theme_reset_breakups(c: Case) -> DataFrame:
     recons = sc.eligible_recons(c.ledger, c.as_of)
