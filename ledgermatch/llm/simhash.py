@@ -8,9 +8,10 @@ bits under the masks, and leaves a whole group as soon as they are more than all
 
 To spread the index over tasks, it is built on four rotations of the fingerprints, by 0, 16, 32 and
 48 bits. Codes at distance 3 or less agree on one of the four 16-bit quarters, so in one of the
-rotations they hang below the same 16-bit root node; other roots are left at the first difference.
-A root with many codes is dealt out as pairs of chunks, so that no task gets it whole. Tasks return
-a spanning forest of the links they find instead of the links, at most one edge for each code.
+rotations they hang below the same root node, which has the first bits of that quarter, as many as leave
+a few hundred codes below it, 16 at most; other roots are left at the first difference. All roots of a task
+are searched in one index. A root with many codes is dealt out as pairs of chunks, so that no task gets it whole.
+Tasks return a spanning forest of the links they find instead of the links, at most one edge for each code.
 """
 
 from __future__ import annotations
@@ -32,6 +33,9 @@ SHINGLE = 3
 SEED = 42
 DISTANCE = 3
 
+#: Codes below a root on average.
+CROWD = 512
+
 _FAN = 8
 _QUARTER = 16
 
@@ -74,38 +78,58 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
-class GrayIndex:
-    """Hierarchy over codes in Gray order. ``levels[0]`` are the leaves; a level holds, for each
-    node, the mask of bits it adds to those of the nodes above, and their values."""
+def _first_of(groups: np.ndarray) -> np.ndarray:
+    """Where each group of a sorted array begins."""
+    return np.flatnonzero(np.diff(groups, prepend=-1))
+
+
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, so many of each."""
+    before = np.cumsum(counts) - counts
+    return np.repeat(starts - before, counts) + np.arange(counts.sum())
 
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
+
+class GrayIndex:
+    """Hierarchy over codes in Gray order, of one group or of several (``groups``: their numbers from 0 on, sorted)
+    that have a part of their own each. ``levels[0]`` are the leaves; a level holds, for each node, the mask of
+    bits it adds to those of the nodes above, their values, and which nodes or codes are below it.
+    ``compared`` counts the codes that searches came down to."""
+
+    def __init__(self, codes: np.ndarray, groups: np.ndarray | None = None):
+        self.codes, self.compared = codes, 0
+        of = np.zeros(len(codes), np.int64) if groups is None else groups
         ones, zeros = codes, ~codes
-        shared: list[tuple[np.ndarray, np.ndarray]] = []
-        while len(ones) > _FAN or not shared:
-            cuts = np.arange(0, len(ones), _FAN)
+        shared: list[tuple[np.ndarray, ...]] = []
+        while True:
+            first = _first_of(of)
+            sizes = np.diff(first, append=len(of))
+            if shared and (sizes <= _FAN).all():
+                break
+            cuts = np.flatnonzero((np.arange(len(of)) - np.repeat(first, sizes)) % _FAN == 0)
             ones, zeros = np.bitwise_and.reduceat(ones, cuts), np.bitwise_and.reduceat(zeros, cuts)
-            shared.append((ones | zeros, ones))
+            shared.append((ones | zeros, ones, cuts, np.diff(cuts, append=len(of))))
+            of = of[cuts]
+        self.first, self.sizes = first, sizes
         self.levels = []
-        for k, (mask, bits) in enumerate(shared):
+        for k, (mask, bits, starts, counts) in enumerate(shared):
             if k + 1 < len(shared):
-                mask = mask & ~np.repeat(shared[k + 1][0], _FAN)[: len(mask)]
-            self.levels.append((mask, bits))
-
-    def search(self, queries: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of queries and of codes at most ``distance`` apart."""
-        top = len(self.levels[-1][0])
-        q = np.repeat(np.arange(len(queries)), top)
-        node = np.tile(np.arange(top), len(queries))
+                mask = mask & ~np.repeat(shared[k + 1][0], shared[k + 1][3])
+            self.levels.append((mask, bits, starts, counts))
+
+    def search(
+        self, queries: np.ndarray, distance: int, groups: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of queries and of codes at most ``distance`` apart, each query in its group."""
+        of = np.zeros(len(queries), np.int64) if groups is None else groups
+        q, node = np.repeat(np.arange(len(queries)), self.sizes[of]), _spread(self.first[of], self.sizes[of])
         differ = np.zeros(len(q), np.uint8)
-        for k in range(len(self.levels) - 1, -1, -1):
-            mask, bits = self.levels[k]
+        for mask, bits, starts, counts in reversed(self.levels):
             differ = differ + np.bitwise_count((queries[q] ^ bits[node]) & mask[node])
             stay = differ <= distance
-            below = len(self.levels[k - 1][0]) if k else len(self.codes)
-            q, differ = np.repeat(q[stay], _FAN), np.repeat(differ[stay], _FAN)
-            node = (node[stay, None] * _FAN + np.arange(_FAN)).ravel()
-            q, differ, node = q[node < below], differ[node < below], node[node < below]
+            q, node, differ = q[stay], node[stay], differ[stay]
+            below = counts[node]
+            q, differ, node = np.repeat(q, below), np.repeat(differ, below), _spread(starts[node], below)
+        self.compared += len(q)
         near = np.bitwise_count(queries[q] ^ self.codes[node]) <= distance
         return q[near], node[near]
 
@@ -135,26 +159,27 @@ def forest(groups: np.ndarray, codes: np.ndarray, distance: int = DISTANCE) -> t
     order = np.lexsort((gray_rank(codes), groups))
     groups, codes = groups[order], codes[order]
     parent = np.arange(len(codes))
-    edge = np.flatnonzero(np.diff(groups)) + 1
-    starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(codes)]])
-    small = np.repeat(ends - starts <= 8 * _FAN, ends - starts)
-    step, left = 1, np.flatnonzero(small)
-    while len(left := left[left + step < len(codes)]) and len(left := left[groups[left] == groups[left + step]]):
-        near = left[np.bitwise_count(codes[left] ^ codes[left + step]) <= distance]
-        unite(parent, near, near + step)
-        step += 1
-    for s, e in zip(starts, ends, strict=True):
-        if e - s > 8 * _FAN:
-            index = GrayIndex(codes[s:e])
-            many = max(1, min(256, (1 << 22) // (e - s)))  # so that what is open at once stays small
-            for at in range(s, e, many):
-                q, found = index.search(codes[at : min(at + many, e)], distance)
-                unite(parent, at + q, s + found)
+    if len(codes):
+        index = GrayIndex(codes, groups)
+        # Queries at a time are so many that what is open at once stays small.
+        open_at_once = np.cumsum(np.bincount(groups)[groups])
+        at = 0
+        while at < len(codes):
+            before = open_at_once[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(open_at_once, before + (1 << 21), side="right")))
+            q, found = index.search(codes[at:end], distance, groups[at:end])
+            unite(parent, at + q, found)
+            at = end
     top = _roots(parent, np.arange(len(codes)))
     child = np.flatnonzero(top != np.arange(len(codes)))
     return codes[child], codes[top[child]]
 
 
+def root_bits(count: int) -> int:
+    """Bits of a root, so that a root has about ``CROWD`` of ``count`` codes, a quarter at most."""
+    return max(1, min(_QUARTER, (count // CROWD).bit_length() - 1))
+
+
 def linked(codes: DataFrame, folder: RunFolder, distance: int = DISTANCE) -> DataFrame:
     """Edges ``a``, ``b`` between distinct fingerprints (column ``fp``) whose components are those of
     all links. ``distance`` may be 3 at most, or a quarter could differ in all four rotations."""
@@ -163,10 +188,11 @@ def linked(codes: DataFrame, folder: RunFolder, distance: int = DISTANCE) -> Dat
     turn = F.explode(F.array(*(F.lit(k * _QUARTER) for k in range(4)))).alias("turn")
     code = F.expr("case when turn = 0 then fp else shiftleft(fp, turn) | shiftrightunsigned(fp, 64 - turn) end")
     rows = codes.select("fp", turn).select("turn", code.alias("code"))
-    rows = rows.withColumn("root", F.shiftrightunsigned("code", 64 - _QUARTER))
+    count = codes.count()
+    rows = rows.withColumn("root", F.shiftrightunsigned("code", 64 - root_bits(count)))
     # A root may have twice the rows of a mean task before it is dealt out.
     tasks = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunk = min(1 << 18, max(1 << 10, 4 * codes.count() // tasks))
+    chunk = min(1 << 18, max(2 * CROWD, 4 * count // tasks))
     hot = folder.scratch(rows.groupBy("turn", "root").count().where(F.col("count") > chunk))
     chunks = F.coalesce(F.ceil(F.col("count") / chunk), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("code"), F.col("chunks")).cast("int")
@@ -226,7 +252,8 @@ def near_duplicates(
     """A row for each row of ``docs``: ``doc_id``, ``fp`` and ``component_id``, the smallest doc_id
     that links of at most ``distance`` bits reach.
 
-    Null and empty texts have fingerprint 0 and are linked like others. Rows with a null doc_id are
+    Null and empty texts have fingerprint 0 and are linked like others. Of a long text all words are held at
+    once, some 60 bytes each; shingles are hashed in pieces. Rows with a null doc_id are
     linked too; their component is null only if it holds no other id. Repeated rows each get their
     row. Other columns are not read.
     """

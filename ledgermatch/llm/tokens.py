@@ -14,6 +14,7 @@ Under every rule the counts of a document's sections add up to its tokens.
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -27,9 +28,17 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How texts are split before byte pairs are merged; a fixed value of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RULES = ("first", "most", "share")
+#: White space as the pattern has it, and how the pattern ends: of a run of it that a word follows, the last
+#: character stands apart from the others.
+BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+BLANKS_LAST = r"|\s+(?!\S)|\s+"
+#: Longer runs of white space are cut out before the pattern is applied, which needs memory for each character.
+LONG_BLANKS = 10_000
+#: A pattern that does not split at all.
+ONE_PIECE = "(?s).+"
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=4)
 def encoder(ranks: bytes, pattern: str):
     """The encoding, and the bytes of each token by its id."""
     import tiktoken
@@ -40,6 +49,20 @@ def encoder(ranks: bytes, pattern: str):
     return tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=table, special_tokens={}), lengths
 
 
+def encode(text: str, plain, whole, pattern: str, long: int = LONG_BLANKS) -> np.ndarray:
+    """Token ids of ``text`` by the encoding ``plain``. A long run of white space goes through ``whole``, which
+    takes a text as one piece, less its last character if a word follows, as the pattern would have it."""
+    if not pattern.endswith(BLANKS_LAST):
+        return np.array(plain.encode_ordinary(text), np.int64)
+    parts, at = [], 0
+    for run in re.finditer(f"[{BLANK}]{{{long + 1},}}", text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        parts += [plain.encode_ordinary(text[at : run.start()]), whole.encode_ordinary(text[run.start() : end])]
+        at = end
+    parts.append(plain.encode_ordinary(text[at:]))
+    return np.concatenate([np.array(x, np.int64) for x in parts])
+
+
 def character_spans(data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Characters [start, end) of tokens of so many bytes; a character that tokens share counts for
     each of them."""
@@ -81,7 +104,8 @@ def count_tokens(
 
     The document is its ``fields`` joined by ``separator``. Each field is a section, with the separator
     behind it; ``by_line``, each line of each field, with its line feed. Null fields are empty; empty
-    sections have no tokens. Repeated rows each get their row. ``ranks``: a vocabulary file, which is
+    sections have no tokens. Long texts are encoded whole, and runs of white space of any length as the pattern would
+    split them (if it ends as the default one does; with others a run of a million fails). Repeated rows each get their row. ``ranks``: a vocabulary file, which is
     read by the driver and sent to the tasks.
     """
     if rule not in RULES:
@@ -95,13 +119,14 @@ def count_tokens(
         return [y for x in parts for y in _lines(x)] if by_line else parts
 
     def make(batch: pa.RecordBatch) -> dict[str, object]:
-        encoding, lengths = encoder(shared.value, pattern)
+        plain, lengths = encoder(shared.value, pattern)
+        whole, _ = encoder(shared.value, ONE_PIECE)
         out: dict[str, list] = {"n_tokens": [], "n_chars": [], "n_crossing": [], "section_tokens": []}
         for values in zip(*(batch.column(f"__{k}").to_pylist() for k in range(len(fields))), strict=True):
             own = sections([x or "" for x in values])
             text = "".join(own)
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in own])])
-            ids = np.array(encoding.encode_ordinary(text), np.int64)
+            ids = encode(text, plain, whole, pattern)
             counts, crossing = np.zeros(len(own)), 0
             if len(ids):
                 counts, crossing = attribute(*character_spans(text.encode(), lengths[ids]), bounds, rule)
