@@ -340,12 +340,12 @@ left join {{tallied}} r on f.recon_code = r.recon_code""",
 select *, sum(rest) over (partition by variant, parent_gid order by tran_date, tran_gid) - rest as earlier,
   sum(rest) over (partition by variant, parent_gid) as own,
   least(sum(case when dataset_code = 'GL' then rest else 0 end) over (partition by variant, recon_code, ref_no),
-        sum(case when dataset_code = 'BNK' then rest else 0 end) over (partition by variant, recon_code, ref_no)) as both,
+        sum(case when dataset_code = 'BNK' then rest else 0 end) over (partition by variant, recon_code, ref_no)) as common,
   sum(case when dataset_code = 'GL' then tran_value else -tran_value end) over (partition by variant, recon_code, ref_no) = 0 as even
 from (select *, case when taken then 0 else tran_value end as rest from {owned})""",
     "owned_left": """
 select *, greatest(least(rest, room - earlier), 0) as kept
-from (select *, case when not play then own when variant <> 'TS' then own - both when even then 0 else own end as room from {owned_sums})""",
+from (select *, case when not play then own when variant <> 'TS' then own - common when even then 0 else own end as room from {owned_sums})""",
     "answer": """
 select recon_code, tran_gid, dataset_code, tran_date, tran_acc_mode, tran_mult, tran_value, excp_value, roundoff_value, kind,
   recon_code || '-R' || case kind when 'EXACT' then '1' when 'SPLIT' then '2' when 'ROUNDOFF' then '3' else '4' end as rule_code
