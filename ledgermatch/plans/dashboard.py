@@ -43,9 +43,23 @@ def ko_split(ledger: Ledger, universe: DataFrame, period: Period) -> DataFrame:
     )
 
 
-def tran_counts(universe: DataFrame, period: Period) -> DataFrame:
-    """All counts that need the universe only, in one aggregation."""
-    return universe.groupBy("recon_code").agg(
+def ko_flags(ledger: Ledger) -> DataFrame:
+    """``tran_gid`` of every tran with live KO lines, and whether any KO is manual or of the system."""
+    kos = live(ledger.ko).select("ko_gid", "manual_matchoff")
+    lines = live(ledger.ko_line).select("ko_gid", "tran_gid").join(kos, "ko_gid")
+    return lines.groupBy("tran_gid").agg(
+        F.coalesce(F.bool_or(F.col("manual_matchoff") == "Y"), F.lit(False)).alias("manual"),
+        F.coalesce(F.bool_or(F.col("manual_matchoff") == "N"), F.lit(False)).alias("system"),
+    )
+
+
+def tran_counts(ledger: Ledger, universe: DataFrame, period: Period) -> DataFrame:
+    """All counts by recon. The universe is read once: KOs come to it as flags of their trans."""
+    dated, manual = F.col("tran_date") >= period.start_col, F.col("manual")
+    return universe.join(ko_flags(ledger), "tran_gid", "left").groupBy("recon_code").agg(
+        count_if(dated & manual).alias("manual_ko_count"),
+        count_if(dated & ~manual & F.col("system")).alias("system_ko_count"),
+        count_if(dated & manual.isNotNull()).alias("ko_count"),
         count_if(F.col("tran_date") >= period.start_col).alias("tran_count"),
         count_if(net_exception()).alias("excp_gross"),
         count_if(net_exception() & (F.col("tran_date") < period.start_col)).alias("opening_excp_count"),
@@ -59,13 +73,11 @@ def dashboard_counts(
 ) -> DataFrame:
     """One row per recon of the scope."""
     universe = universe if universe is not None else tran_universe(ledger, scope, period)
-    counts = tran_counts(universe, period)
-    split = ko_split(ledger, universe, period)
+    counts = tran_counts(ledger, universe, period)
     joined = (
         scope.select("recon_code")
         .join(dataset_count(ledger, scope), "recon_code", "left")
         .join(counts, "recon_code", "left")
-        .join(split, "recon_code", "left")
         .na.fill(0)
     )
     return joined.select(

@@ -6,6 +6,8 @@ of a report is then a fold of that small table, so a report reads the lines once
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from ledgermatch.operators.scope import scope_by_code
 from ledgermatch.operators.universe import ko_line_fact
 from ledgermatch.params import Period
 from ledgermatch.sources.ledger import Ledger
+from ledgermatch.sources.rounds import RunFolder
 
 # Section numbers give the row order within a recon (and dataset).
 HEADER, DATASET, RULE, MANUAL, SUBTOTAL, BLANK, GRAND = 1, 2, 3, 4, 5, 6, 7
@@ -355,60 +358,39 @@ def summ_non_value_based(figures: DataFrame) -> DataFrame:
 
 
 def _pivot_rows(figures: DataFrame) -> DataFrame:
-    """Rows of the pivot layout. The figures of a recon, as many as it has rules and datasets, are
-    put side by side in an array, so they are computed once for all sections."""
+    """Rows of the pivot layout: figures of source sides left joined with those of target sides, and
+    header, dataset and manual rows. The figures, as many rows as there are rules and datasets, are written
+    once, as every section reads them."""
     values = ("dr_count", "dr_value", "cr_count", "cr_value")
-    columns = ("kind", "dataset_code", "rule_order", "source_dataset_code", "comparison_dataset_code", *values)
+    figures = RunFolder(figures.sparkSession).scratch(figures.withColumn("label", _label()))
     meta = ("recon_code", "recontype_code")
-    entries = figures.withColumn("label", _label()).groupBy(*meta, "recon_name").agg(
-        F.collect_list(F.struct(*columns, "label")).alias("all")
-    )
-
-    def same_rule(e: Column, t: Column) -> Column:
-        return (
-            (t.getField("kind") == RULE)
-            & (t.getField("dataset_code") != t.getField("source_dataset_code"))
-            & (t.getField("rule_order") == e.getField("rule_order"))
-            & (t.getField("label") == e.getField("label"))
+    columns = ("dataset_code", "rule_order", "comparison_dataset_code", *values)
+    kinds = {c: figures.schema[c].dataType for c in columns}
+    target = ("dataset_code", *values)
+
+    def rows(df: DataFrame, section: int, label: Column, keep: Sequence[str] = (), joined: bool = False) -> DataFrame:
+        none = {f"target_{c}": F.lit(None).cast(kinds[c]).alias(f"target_{c}") for c in target}
+        return df.select(
+            *meta,
+            F.lit(section).alias("section"),
+            label.cast("string").alias("row_label"),
+            *[F.col(c) if c in keep else F.lit(None).cast(kinds[c]).alias(c) for c in columns],
+            *[F.col(c) if joined else none[c] for c in none],
         )
 
-    def row(section: int, e: Column, keep: tuple[str, ...] = (), targets: bool = False, label: Column | None = None) -> Column:
-        fields = [F.lit(section).alias("section"), (label if label is not None else F.lit(None).cast("string")).alias("row_label")]
-        for c in columns[1:]:
-            fields.append((e.getField(c) if c in keep else F.lit(None).cast(types[c])).alias(c))
-        found = F.filter("all", lambda t: same_rule(e, t)) if targets else F.filter("all", lambda t: F.lit(False))
-        return F.struct(*fields, found.alias("targets"))
-
-    types = {c: figures.schema[c].dataType for c in columns}
-    first = F.element_at("all", 1)
-
-    def is_source(e: Column) -> Column:
-        return (e.getField("kind") == RULE) & (e.getField("dataset_code") == e.getField("source_dataset_code"))
-
-    sections = F.concat(
-        F.array(row(HEADER, first, label=F.col("recon_name"))),
-        F.array_distinct(
-            F.transform(
-                F.filter("all", lambda e: e.getField("dataset_code") != e.getField("comparison_dataset_code")),
-                lambda e: row(DATASET, e, ("dataset_code",)),
-            )
-        ),
-        F.transform(
-            F.filter("all", is_source),
-            lambda e: row(
-                RULE, e, ("dataset_code", "rule_order", "comparison_dataset_code", *values), True, e.getField("label")
-            ),
-        ),
-        F.transform(
-            F.filter("all", lambda e: e.getField("kind") == MANUAL),
-            lambda e: row(MANUAL, e, ("dataset_code", *values), label=F.lit(MANUAL_LABEL)),
-        ),
+    of_rules = figures.filter(F.col("kind") == RULE)
+    sources = of_rules.filter(F.col("dataset_code") == F.col("source_dataset_code"))
+    targets = of_rules.filter(F.col("dataset_code") != F.col("source_dataset_code")).select(
+        "recon_code", "rule_order", "label", *[F.col(c).alias(f"target_{c}") for c in target]
     )
-    rows = entries.select(*meta, F.explode(sections).alias("s")).select(*meta, "s.*")
-    return rows.withColumn("t", F.explode_outer("targets")).select(
-        *[c for c in rows.columns if c not in ("targets", "source_dataset_code")],
-        F.col("t.dataset_code").alias("target_dataset_code"),
-        *[F.col(f"t.{c}").alias(f"target_{c}") for c in values],
+    headers = figures.select(*meta, "recon_name").distinct()
+    datasets = figures.filter(F.col("dataset_code") != F.col("comparison_dataset_code")).select(*meta, "dataset_code").distinct()
+    pairs = sources.join(targets, ["recon_code", "rule_order", "label"], "left")
+    return (
+        rows(headers, HEADER, F.col("recon_name"))
+        .unionByName(rows(datasets, DATASET, F.lit(None), ("dataset_code",)))
+        .unionByName(rows(pairs, RULE, F.col("label"), columns, joined=True))
+        .unionByName(rows(figures.filter(F.col("kind") == MANUAL), MANUAL, F.lit(MANUAL_LABEL), ("dataset_code", *values)))
     )
 
 

@@ -509,6 +509,17 @@ select case t.recontype_code when 'V' then 'value' else 'non_value' end, f.recon
   null, line_count, null from {folded_layout} f join {types} t on f.recon_code = t.recon_code where t.recontype_code in ('V', 'N')
 union all
 select 'pivot', recon_code, section, rec_slno, row_label, dr_count, null, target_cr_count from {pivot_layout}
+where recontype in ('B', 'I')""",
+    "summ_dispatch_money": """
+select 'proof' as layout, recon_code, section, rec_slno, cast(dr_value as decimal(18,2)) as dr_value, cast(cr_value as decimal(18,2)) as cr_value,
+  cast(null as decimal(18,2)) as line_value, cast(null as decimal(18,2)) as target_dr_value, cast(null as decimal(18,2)) as target_cr_value
+from {proof_layout} where recontype = 'W'
+union all
+select case t.recontype_code when 'V' then 'value' else 'non_value' end, f.recon_code, section, rec_slno, null, null,
+  case t.recontype_code when 'V' then line_value end, null, null
+from {folded_layout} f join {types} t on f.recon_code = t.recon_code where t.recontype_code in ('V', 'N')
+union all
+select 'pivot', recon_code, section, rec_slno, dr_value, cr_value, null, target_dr_value, target_cr_value from {pivot_layout}
 where recontype in ('B', 'I')""",
     "match_one_to_one": PAIR,
     "match_one_to_one_tolerance": f"""{PAIR} union all
@@ -671,6 +682,15 @@ from (
   from {{fx_parent}} f join {{key_sums}} k on f.recon_code = k.recon_code and f.ref_no = k.ref_no
   where not (k.sg = k.sb and k.ng + k.nb > 2) and k.ng > 0 and k.nb > 0) x
 join {{scope}} s on x.recon_code = s.recon_code where x.tran_date between {START} and {END}""",
+    "committed_delta": f"""
+select recon_code, tran_gid, excp_value, theme_code, case when excp_value = 0 then 'matched' else 'open' end as place,
+  {money("case when excp_value <> tran_value then tran_value - excp_value end")} as ko_value
+from (select t.recon_code, t.tran_gid, t.tran_value, case when p.play then a.excp_value else t.tran_value end as excp_value,
+    case when p.play then '' else t.theme_code end as theme_code
+  from {{fx_open}} t left join {{answer}} a on t.tran_gid = a.tran_gid
+  left join {{scope}} s on t.recon_code = s.recon_code
+  join (select true as play union all select false) p on p.play = coalesce(s.recontype_code not in ('W', 'B') and t.delete_flag = 'N'
+    and t.tran_date between {START} and {END}, false))""",
     "theme_tag": f"""
 select t.recon_code, t.tran_gid, case when not {NET} then t.theme_code when t.excp_value < t.tran_value then 'PARTLY'
   when t.excp_value >= 300000 then 'LARGE' when date_diff('day', t.tran_date, {AS_OF}) > 365 then 'AGED' else t.theme_code

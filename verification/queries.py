@@ -23,6 +23,7 @@ from ledgermatch.plans import recon as rc
 from ledgermatch.plans import runs as rn
 from ledgermatch.plans import summary as sm
 from ledgermatch.plans import values as vl
+from ledgermatch.plans.deltas import DeltaLog
 from ledgermatch.sources.fixtures import Fixtures
 from ledgermatch.sources.rounds import RunFolder
 
@@ -294,6 +295,13 @@ def summ_dispatch(c: Case) -> DataFrame:
     return rows.select("layout", "recon_code", "section", "rec_slno", "row_label", "dr_count", "line_count", "target_cr_count")
 
 
+@query
+def summ_dispatch_money(c: Case) -> DataFrame:
+    rows = sm.summ_dispatch(c.ledger, c.scope, PERIOD, UNIT, "format2")
+    money = ("dr_value", "cr_value", "line_value", "target_dr_value", "target_cr_value")
+    return rows.select("layout", "recon_code", "section", "rec_slno", *[F.col(m).cast(TOTAL).alias(m) for m in money])
+
+
 # --- matching ----------------------------------------------------------------------------------
 
 
@@ -650,6 +658,20 @@ def uncommitted_preview(c: Case) -> DataFrame:
     return c.fx.spark.read.schema(preview.schema).option("header", True).csv(path).drop("ko_gid")
 
 
+@query
+def committed_delta(c: Case) -> DataFrame:
+    """The tables after a run whose changes were added to a log beside the tables they started from."""
+    before = _before_run(c)
+    report = rc.run_recon(before, PERIOD, job_gid=7)
+    log = DeltaLog(before, f"{RunFolder(c.fx.spark).path}/log")
+    log.append(report.outcome.trans, report.outcome.breakups, report.ledger.breakup, PERIOD.as_of_col, 7)
+    after = log.ledger()
+    still = after.open.select("recon_code", "tran_gid", "excp_value", "theme_code", F.lit("open").alias("place"))
+    gone = after.matched.select("recon_code", "tran_gid", "excp_value", "theme_code", F.lit("matched").alias("place"))
+    kos = after.ko_line.groupBy("tran_gid").agg(F.sum("ko_value").cast(TOTAL).alias("ko_value"))
+    return still.unionByName(gone).join(kos, "tran_gid", "left")
+
+
 @query
 def theme_reset_breakups(c: Case) -> DataFrame:
     recons = sc.eligible_recons(c.ledger, c.as_of)
