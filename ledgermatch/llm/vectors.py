@@ -34,6 +34,8 @@ SAMPLE = 20_000
 CELL = 400
 BLOCK = 1024
 MOST_WORDS = 1024
+#: Members of a block whose visits are worked out together.
+ROWS_AT_ONCE = 256
 
 
 def unit_rows(column: pa.Array) -> list[np.ndarray | None]:
@@ -70,15 +72,27 @@ class MultiIndex:
         rng = np.random.default_rng(11)
         self.half = sample.shape[1] // 2
         self.words = [_codebook(x, size, rng) for x in (sample[:, : self.half], sample[:, self.half :])]
-        self.visits = len(self.words[0]) * len(self.words[1])
         some = sample[rng.permutation(len(sample))[:1000]]
         noise = rng.standard_normal(some.shape)
         noise -= (noise * some).sum(1)[:, None] * some
         noise /= np.maximum(np.linalg.norm(noise, axis=1), 1e-300)[:, None]
         near = least * some + np.sqrt(max(0.0, 1 - least**2)) * noise
-        there, back = self.cells(some), self.cells(near)
-        rank = [min(b.index(a[0]), a.index(b[0])) for a, b in zip(there, back, strict=True)]
-        self.visits = 1 + int(np.quantile(rank, recall, method="higher")) if rank else 1
+        rank = np.minimum(self._rank(some, near), self._rank(near, some))
+        self.visits = 1 + int(np.quantile(rank, recall, method="higher")) if len(rank) else 1
+
+    def _rank(self, x: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """How many cells each row of ``x`` visits before the own cell of the row of ``of``: those with a
+        smaller sum of distances, counted by places in the sorted distances of one half."""
+        parts = [slice(0, self.half), slice(self.half, None)]
+        first, second = (_nearest(x[:, p], w) for p, w in zip(parts, self.words, strict=True))
+        own = [_nearest(of[:, p], w).argmin(1) for p, w in zip(parts, self.words, strict=True)]
+        row = np.arange(len(x))
+        apart = second[row, own[1]]
+        # What is left for the other half; exactly so for the code word of the cell itself.
+        left = (first[row, own[0]] + apart)[:, None] - first
+        left[row, own[0]] = apart
+        second.sort(axis=1)
+        return np.array([np.searchsorted(e, v).sum() for e, v in zip(second, left, strict=True)])
 
     def cells(self, x: np.ndarray) -> list[list[int]]:
         """The cells that each row visits, its own first."""
@@ -107,35 +121,34 @@ class MultiIndex:
         return out
 
 
-def _rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
+def _rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     x = table["x"].combine_chunks()
     values = x.flatten().to_numpy().reshape(table.num_rows, -1)
-    return (
-        values,
-        table["n"].to_numpy(),
-        table["own"].to_numpy(),
-        table["node"].to_numpy(),
-        table["visits"].to_pylist(),
-    )
+    return values, table["n"].to_numpy(), table["own"].to_numpy(), table["node"].to_numpy()
 
 
-def compare(table: pa.Table, least: float) -> pa.Table:
+def compare(table: pa.Table, least: float, index: MultiIndex) -> pa.Table:
     """Links between the members and the visitors of one block.
 
     Two vectors that visit each other's cells meet twice; then each meeting counts for its visitor
-    only. Otherwise the one meeting counts for both.
+    only. Otherwise the one meeting counts for both. Which cells a member visits is worked out anew, for
+    members with a link only, instead of being sent to all cells that it visits.
     """
     role = table["member"].to_numpy(zero_copy_only=False)
-    x, n, own, node, visits = _rows(table)
+    x, n, own, node = _rows(table)
     a, b = np.flatnonzero(~role), np.flatnonzero(role)
     linked = (x[a] @ x[b].T) >= least
     linked &= node[a][:, None] != node[b][None, :]
     links = np.zeros(len(n), np.int64)
     links[a] += linked @ n[b]
     back = np.zeros_like(linked)
-    seen = [set(visits[k]) for k in b] if linked.any() else []
-    for cell in np.unique(own[a]) if seen else ():
-        back[own[a] == cell] = [cell in cells for cells in seen]
+    met = np.flatnonzero(linked.any(axis=0))
+    for at in range(0, len(met), ROWS_AT_ONCE):
+        some = met[at : at + ROWS_AT_ONCE]
+        seen = [set(cells) for cells in index.cells(x[b[some]])]
+        callers = np.flatnonzero(linked[:, some].any(axis=1))
+        for cell in np.unique(own[a[callers]]):
+            back[np.ix_(callers[own[a[callers]] == cell], some)] = [cell in cells for cells in seen]
     links[b] += (linked & ~back).T @ n[a]
     i, j = np.nonzero(linked)
     # The same class may be here as member and as visitor: number the classes.
@@ -233,8 +246,8 @@ def _meetings(classes: DataFrame, folder: RunFolder, least: float, recall: float
         "node binary, n bigint, x array<double>, own int, visits array<int>",
     )
     placed = folder.scratch(placed)
-    visitors = placed.withColumn("cell", F.explode("visits")).withColumn("member", F.lit(False))
-    members = placed.withColumn("cell", F.col("own")).withColumn("member", F.lit(True))
+    visitors = placed.withColumn("cell", F.explode("visits")).withColumn("member", F.lit(False)).drop("visits")
+    members = placed.withColumn("cell", F.col("own")).withColumn("member", F.lit(True)).drop("visits")
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     m = members.groupBy("cell").count().select("cell", blocks.alias("m"))
     v = visitors.groupBy("cell").count().select("cell", blocks.alias("v"))
@@ -245,8 +258,8 @@ def _meetings(classes: DataFrame, folder: RunFolder, least: float, recall: float
     dealt = both.withColumn("mine", own).withColumn("theirs", other)
     i = F.when(F.col("member"), F.col("mine")).otherwise(F.col("theirs"))
     j = F.when(F.col("member"), F.col("theirs")).otherwise(F.col("mine"))
-    dealt = dealt.select("cell", i.alias("i"), j.alias("j"), "member", "node", "n", "x", "own", "visits")
+    dealt = dealt.select("cell", i.alias("i"), j.alias("j"), "member", "node", "n", "x", "own")
     met = dealt.groupBy("cell", "i", "j").applyInArrow(
-        lambda table: compare(table, least), "node binary, links bigint, to binary"
+        lambda table: compare(table, least, index.value), "node binary, links bigint, to binary"
     )
     return folder.scratch(met)
