@@ -14,15 +14,14 @@ SETTING = "spark.checkpoint.dir"
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder. Only a local session may fall back on a folder of
-    its own, since only there every task sees the same disk."""
+    its own, since only there every task sees the same disk; it becomes the session's checkpoint folder."""
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {SETTING} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="ledgermatch-")
-    spark.conf.set(SETTING, folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgermatch-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 class RunFolder:
