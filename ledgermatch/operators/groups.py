@@ -36,7 +36,10 @@ class HotGroups:
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], folder: RunFolder, hot_rows: int = HOT_ROWS) -> HotGroups | None:
-    """All groups with more than ``hot_rows`` rows, as a written table; None if there are none."""
+    """All groups with more than ``hot_rows`` rows, as a written table; None if there are none. Groups are
+    counted only if all rows together are more than that."""
+    if df.count() <= hot_rows:
+        return None
     large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows)
     rows = large.agg(F.sum("_rows")).first()[0]
     if rows is None:

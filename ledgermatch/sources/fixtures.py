@@ -171,6 +171,17 @@ select tran_gid, case tran_gid % 3 when 0 then '  ' || lower(ref_no) || ' ' when
 from {fx_feed}""",
 }
 
+# Two keys for all complete orders of a recon, and the same with a single row on one side.
+SQL["fx_hot"] = """
+select tran_gid, recon_code, dataset_code, 'HOT' || cast(cast(floor(parent_gid / 4) as bigint) % 2 as varchar(1)) as ref_no, tran_date,
+  tran_acc_mode, tran_mult, tran_value, excp_value, roundoff_value
+from {fx_mtm_feed} where cast(floor(parent_gid / 4) as bigint) % 10 <> 0"""
+SQL["fx_hot_one"] = """
+select * from {fx_hot} where dataset_code = 'GL'
+union all
+select min(tran_gid), recon_code, dataset_code, ref_no, min(tran_date), 'C', 1, cast(sum(tran_value) as decimal(15,2)),
+  cast(sum(excp_value) as decimal(15,2)), cast(0 as decimal(15,2))
+from {fx_hot} where dataset_code = 'BNK' group by recon_code, dataset_code, ref_no"""
 # Chains of a hundred levels and more, and chains whose length depends on the recon.
 SQL["fx_long_chain"] = SQL["fx_chain"].replace("% 12 as place", "% 120 as place")
 SQL["fx_recon_chain"] = SQL["fx_chain"].replace("% 12 as place", "% (2 + 2 * cast(substring(recon_code, 3, 1) as int)) as place")
@@ -189,7 +200,7 @@ GROWING = (
 DRIVER_TABLES = ("region", "nation", "customer", "orders", "lineitem")
 
 # Views that an oracle reads more than once and that cost a sort or a join.
-MATERIALIZED = ("fx_mtm_feed", "ranked", "pairs", "lone", "nearest", "owned_left")
+MATERIALIZED = ("fx_mtm_feed", "ranked", "pairs", "lone", "nearest", "owned_left", "hot_ranked", "hot_levels")
 
 _NAME = re.compile(r"\{(\w+)\}")
 

@@ -319,6 +319,26 @@ select m.recon_code, a.tran_gid as gl, b.tran_gid as bnk, m.gl_v, m.bnk_v
 from {mates} m join {lone} a on a.recon_code = m.recon_code and a.ref_no = m.ref_no and a.dataset_code = 'GL' and a.tran_value = m.gl_v
 join {lone} b on b.recon_code = m.recon_code and b.ref_no = m.ref_no and b.dataset_code = 'BNK' and b.tran_value = m.bnk_v
   and b.rest = a.rest""",
+    # Keys with very many rows: rank within an amount, rows of an amount that pair; then neighbours in order of amounts.
+    "hot_ranked": """
+select *, least(ng, nb) as pairs from (
+  select *, row_number() over (partition by recon_code, ref_no, tran_value, dataset_code order by tran_date, tran_gid) as place,
+    count(case when dataset_code = 'GL' then 1 end) over (partition by recon_code, ref_no, tran_value) as ng,
+    count(case when dataset_code = 'BNK' then 1 end) over (partition by recon_code, ref_no, tran_value) as nb
+  from {fx_hot})""",
+    "hot_levels": """
+select *, case when lag(dataset_code) over by_value <> dataset_code and v - lag(v) over by_value <= 3 then v - lag(v) over by_value end as down,
+  case when lead(dataset_code) over by_value <> dataset_code and lead(v) over by_value - v <= 3 then lead(v) over by_value - v end as up
+from (select distinct recon_code, ref_no, dataset_code, tran_value as v, abs(ng - nb) as n from {hot_ranked} where place > pairs)
+window by_value as (partition by recon_code, ref_no order by v)""",
+    "hot_mates": """
+select recon_code, ref_no, dataset_code, v, n, case when lower then low else high end as mate, case when lower then low_n else high_n end as mate_n
+from (
+  select *, coalesce(down <= coalesce(up, down) and down < coalesce(lag(down) over by_value, 4), false) as lower,
+    coalesce(up < coalesce(down, 4) and up <= coalesce(lead(up) over by_value, up), false) as upper,
+    lag(v) over by_value as low, lead(v) over by_value as high, lag(n) over by_value as low_n, lead(n) over by_value as high_n
+  from {hot_levels} window by_value as (partition by recon_code, ref_no order by v))
+where lower or upper""",
     "key_sums": f"""
 select recon_code, ref_no, count(case when dataset_code = 'GL' then 1 end) as ng, count(case when dataset_code = 'BNK' then 1 end) as nb,
   {sum_if("dataset_code = 'GL'", "tran_value")} as sg, {sum_if("dataset_code = 'BNK'", "tran_value")} as sb,
@@ -533,6 +553,26 @@ select recon_code, tran_gid, cast(taken as decimal(15,2)) as ko_value, tran_mult
   select f.*, least(greatest(least(k.sg, k.sb) - (sum(f.tran_value) over (partition by f.recon_code, f.ref_no, f.dataset_code
     order by f.tran_date, f.tran_gid) - f.tran_value), 0), f.tran_value) as taken
   from {fx_mtm_feed} f join {key_sums} k on f.recon_code = k.recon_code and f.ref_no = k.ref_no) where taken > 0""",
+    "match_hot_one_to_one": """
+select recon_code, tran_gid, cast(case when place <= pairs then 0 else tran_value end as decimal(15,2)) as excp_value, roundoff_value
+from {hot_ranked}""",
+    "match_hot_tolerance": """
+select h.recon_code, h.tran_gid,
+  cast(case when h.place <= h.pairs then 0 when m.mate is null or h.place - h.pairs > least(m.n, m.mate_n) then h.tran_value
+    else greatest(h.tran_value - m.mate, 0) end as decimal(15,2)) as excp_value,
+  cast(case when h.place > h.pairs and m.mate is not null and h.place - h.pairs <= least(m.n, m.mate_n)
+    then greatest(h.tran_value - m.mate, 0) * h.tran_mult else 0 end as decimal(15,2)) as roundoff_value
+from {hot_ranked} h left join {hot_mates} m
+  on h.recon_code = m.recon_code and h.ref_no = m.ref_no and h.dataset_code = m.dataset_code and h.tran_value = m.v""",
+    "match_hot_one_to_many": "select recon_code, tran_gid, cast(0 as decimal(15,2)) as excp_value, roundoff_value from {fx_hot_one}",
+    "match_hot_many_to_many": "select recon_code, tran_gid, cast(0 as decimal(15,2)) as excp_value, roundoff_value from {fx_hot}",
+    "match_hot_partial": """
+select recon_code, tran_gid, cast(tran_value - greatest(least(least(sg, sb) - earlier, tran_value), 0) as decimal(15,2)) as excp_value, roundoff_value
+from (
+  select *, sum(case when dataset_code = 'GL' then tran_value else 0 end) over (partition by recon_code, ref_no) as sg,
+    sum(case when dataset_code = 'BNK' then tran_value else 0 end) over (partition by recon_code, ref_no) as sb,
+    sum(tran_value) over (partition by recon_code, ref_no, dataset_code order by tran_date, tran_gid) - tran_value as earlier
+  from {fx_hot} where dataset_code = 'GL' or tran_value > 20000)""",
     "match_breakup": """
 select p.recon_code, p.tran_gid, p.tran_value, cast(p.tran_value - coalesce(x.taken, 0) as decimal(15,2)) as excp_value
 from {fx_parent} p left join (

@@ -349,6 +349,41 @@ def match_partial(c: Case) -> DataFrame:
     return ko_lines(state).select("recon_code", "tran_gid", "ko_value", "ko_mult")
 
 
+def _hot(c: Case, feed: str = "fx_hot", **shape) -> DataFrame:
+    """A rule on keys with thousands of rows, in chunks of a thirtieth of the feed, so that every key is cut."""
+    trans = c.fx[feed]
+    state, _ = mt.run_rules(trans, _rules(c, **shape), hot_rows=max(20, trans.count() // 30))
+    return state.select("recon_code", "tran_gid", "excp_value", "roundoff_value")
+
+
+@query
+def match_hot_one_to_one(c: Case) -> DataFrame:
+    return _hot(c, group_flag="OTO")
+
+
+@query
+def match_hot_tolerance(c: Case) -> DataFrame:
+    return _hot(c, group_flag="OTO", tolerance=Decimal("3.00"))
+
+
+@query
+def match_hot_one_to_many(c: Case) -> DataFrame:
+    return _hot(c, "fx_hot_one", group_flag="OTM")
+
+
+@query
+def match_hot_many_to_many(c: Case) -> DataFrame:
+    return _hot(c, group_flag="MTM")
+
+
+@query
+def match_hot_partial(c: Case) -> DataFrame:
+    """One side lacks its smallest amounts, so that the other is left with some."""
+    feed = c.fx["fx_hot"].filter("dataset_code = 'GL' or tran_value > 20000")
+    state, _ = mt.run_rules(feed, _rules(c, group_flag="", partial=True), hot_rows=max(20, feed.count() // 30))
+    return state.select("recon_code", "tran_gid", "excp_value", "roundoff_value")
+
+
 @query
 def match_breakup(c: Case) -> DataFrame:
     trans, _ = mt.run_rules(c.fx["fx_parent"], _rules(c, group_flag="OTO", apply_on="S"), c.fx["fx_mtm_feed"])
