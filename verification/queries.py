@@ -625,6 +625,7 @@ def _owned(c: Case, variant: str) -> rc.Ledger:
     flag = F.when(name == "Split", "MTM" if variant == "P" else "OTO").otherwise(F.col("group_flag"))
     rule = c.ledger.rule.filter(name.isin(*plan)).withColumns({"rule_apply_on": applies, "group_flag": flag})
     more = {"theme_code": F.lit("OLD"), "delete_flag": F.lit("N")}
+    folder = RunFolder(c.fx.spark)  # as tables, as a ledger has them
     below = c.fx["fx_mtm_feed"].select(
         F.col("tran_gid").alias("tranbrkp_gid"),
         F.col("parent_gid").alias("tran_gid"),
@@ -635,17 +636,23 @@ def _owned(c: Case, variant: str) -> rc.Ledger:
         "tran_acc_mode",
         "excp_value",
     )
-    parents = c.fx["fx_parent"].withColumns(more)
+    parents = folder.scratch(c.fx["fx_parent"].withColumns(more))
     none = {"matched": parents.limit(0), "ko": c.ledger.ko.limit(0), "ko_line": c.ledger.ko_line.limit(0)}
-    return replace(c.ledger, rule=rule, open=parents, breakup=below.withColumns(more), **none)
+    return replace(c.ledger, rule=rule, open=parents, breakup=folder.scratch(below.withColumns(more)), **none)
 
 
 @query
 def committed_breakups(c: Case) -> DataFrame:
     """Breakups and what their parents have left, after runs with rules on trans only, last or first."""
-    runs = []
-    for variant, stable in (("T", False), ("ST", False), ("TS", False)):
-        after = rc.run_recon(_owned(c, variant), PERIOD, 7, until_stable=stable, breakup_keys=["ref_no"]).ledger
+    runs, names = [], None
+    for variant in ("T", "ST", "TS"):
+        ledger, folder = _owned(c, variant), RunFolder(c.fx.spark)
+        if names is None:
+            refused = [r.recon_code for r in rc.refusals(ledger, PERIOD).collect()]
+            names = [r.recon_code for r in c.scope.collect() if r.recon_code not in refused]
+        outcome = mt.match(ledger, PERIOD, names, breakup_keys=["ref_no"], job_gid=7)
+        written = replace(outcome, trans=folder.scratch(outcome.trans), breakups=folder.scratch(outcome.breakups))
+        after = rc.committed(ledger, written, c.as_of, 7)
         parents = after.open.select("tran_gid", F.col("excp_value").alias("parent_value"))
         rows = after.breakup.join(parents, "tran_gid", "left").select(
             F.lit(variant).alias("variant"),
