@@ -43,10 +43,14 @@ def ko_split(ledger: Ledger, universe: DataFrame, period: Period) -> DataFrame:
     )
 
 
-def ko_flags(ledger: Ledger) -> DataFrame:
-    """``tran_gid`` of every tran with live KO lines, and whether any KO is manual or of the system."""
+def ko_flags(ledger: Ledger, trans: DataFrame | None = None) -> DataFrame:
+    """``tran_gid`` of every tran (or of those in ``trans``) with live KO lines, and whether any KO is manual
+    or of the system."""
     kos = live(ledger.ko).select("ko_gid", "manual_matchoff")
-    lines = live(ledger.ko_line).select("ko_gid", "tran_gid").join(kos, "ko_gid")
+    lines = live(ledger.ko_line).select("ko_gid", "tran_gid")
+    if trans is not None:
+        lines = lines.join(trans.select("tran_gid"), "tran_gid", "left_semi")
+    lines = lines.join(kos, "ko_gid")
     return lines.groupBy("tran_gid").agg(
         F.coalesce(F.bool_or(F.col("manual_matchoff") == "Y"), F.lit(False)).alias("manual"),
         F.coalesce(F.bool_or(F.col("manual_matchoff") == "N"), F.lit(False)).alias("system"),
@@ -73,7 +77,11 @@ def dashboard_counts(
 ) -> DataFrame:
     """One row per recon of the scope."""
     universe = universe if universe is not None else tran_universe(ledger, scope, period)
-    counts = tran_counts(ledger, universe, period)
+    return counts_report(ledger, scope, tran_counts(ledger, universe, period))
+
+
+def counts_report(ledger: Ledger, scope: DataFrame, counts: DataFrame) -> DataFrame:
+    """The report from counts by recon, as :func:`tran_counts` gives them."""
     joined = (
         scope.select("recon_code")
         .join(dataset_count(ledger, scope), "recon_code", "left")
@@ -117,8 +125,14 @@ def exception_aging(
         universe.filter(net_exception())
         .groupBy("tran_date")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("age", F.datediff(period.as_of_col, "tran_date"))
-        .withColumn("whole", F.sum("n").over(Window.partitionBy()))
+    )
+    return aging_report(ledger, days, period)
+
+
+def aging_report(ledger: Ledger, days: DataFrame, period: Period) -> DataFrame:
+    """The report from the number ``n`` of exceptions of each ``tran_date``."""
+    days = days.withColumn("age", F.datediff(period.as_of_col, "tran_date")).withColumn(
+        "whole", F.sum("n").over(Window.partitionBy())
     )
     buckets = live(ledger.aging).select("aging_gid", "aging_from", "aging_to")
     counted = (

@@ -76,6 +76,15 @@ class DeltaLog:
             found = rows if found is None else found.unionByName(rows)
         return found
 
+    def touched(self, since: int = 0) -> DataFrame | None:
+        """``tran_gid`` of the trans that deltas after number ``since`` moved, changed or gave KO lines; None
+        if there are none. For :func:`ledgermatch.plans.rollup.refreshed`."""
+        parts = [self._read(name) for name in (MOVED, CHANGED, LINES)]
+        if parts[0] is None:
+            return None
+        own = [df.filter(F.col("_number") > since).select("tran_gid") for df in parts]
+        return own[0].unionByName(own[1]).unionByName(own[2])
+
     def ledger(self) -> Ledger:
         """The tables with all deltas."""
         moved = self._read(MOVED)

@@ -738,4 +738,20 @@ select t.recon_code, t.tran_gid, case when not {NET} then t.theme_code when t.ex
 from {{recon_trn_ttran}} t where t.delete_flag = 'N'""",
 }
 
+# Reports of other periods: the same text with other dates.
+PERIODS = {
+    "year": (START, END),
+    "within": ("date '1996-03-15'", "date '1996-07-10'"),
+    "all": ("date '1990-01-01'", "date '2005-12-31'"),
+}
+
+
+def in_periods(name: str) -> str:
+    """The answer of a report for several periods."""
+    sql = with_prefix(TEXTS[name], VIEWS)
+    parts = [f"select '{p}' as period, * from ({sql.replace(START, a).replace(END, b)})" for p, (a, b) in PERIODS.items()]
+    return " union all ".join(parts)
+
+
 ORACLE = {name: with_prefix(sql, VIEWS) for name, sql in TEXTS.items()}
+ORACLE |= {"dashboard_rollup": in_periods("dashboard_counts"), "aging_rollup": in_periods("exception_aging")}

@@ -20,6 +20,7 @@ from ledgermatch.params import Period
 from ledgermatch.plans import dashboard as db
 from ledgermatch.plans import matching as mt
 from ledgermatch.plans import recon as rc
+from ledgermatch.plans import rollup as ru
 from ledgermatch.plans import runs as rn
 from ledgermatch.plans import summary as sm
 from ledgermatch.plans import values as vl
@@ -29,6 +30,12 @@ from ledgermatch.sources.rounds import RunFolder
 
 PERIOD = Period(dt.date(1997, 1, 1), dt.date(1997, 12, 31), dt.date(1998, 1, 1))
 UNIT = "L"
+#: Periods that one roll-up answers: a year, one that begins and ends within a month, and all there is.
+PERIODS = {
+    "year": PERIOD,
+    "within": Period(dt.date(1996, 3, 15), dt.date(1996, 7, 10), dt.date(1998, 1, 1)),
+    "all": Period(dt.date(1990, 1, 1), dt.date(2005, 12, 31), dt.date(1998, 1, 1)),
+}
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -210,6 +217,25 @@ def exception_aging(c: Case) -> DataFrame:
     return db.exception_aging(c.ledger, c.scope, PERIOD)
 
 
+def _from_rollup(c: Case, report: Callable[..., DataFrame]) -> DataFrame:
+    """A report of three periods from one roll-up, which is written once."""
+    cells = RunFolder(c.fx.spark).table(ru.rollup(c.ledger), "rollup")
+    parts = [
+        report(cells, c.ledger, c.scope, period).withColumn("period", F.lit(name)) for name, period in PERIODS.items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def dashboard_rollup(c: Case) -> DataFrame:
+    return _from_rollup(c, ru.counts_of)
+
+
+@query
+def aging_rollup(c: Case) -> DataFrame:
+    return _from_rollup(c, ru.aging_of)
+
+
 def _percents(df: DataFrame) -> list[str]:
     return [n for n in df.columns if n.startswith("p_")]
 
