@@ -35,6 +35,9 @@ RULE_TABLE = (
     .add("tolerance", MONEY)
     .add("side", "string")
 )
+#: Number of the class of recons (see :func:`key_classes`) that a row is matched with.
+CLASS = "_class"
+CLASS_TABLE = StructType().add("recon_code", "string").add(CLASS, "integer")
 FEED_TABLE = StructType().add("recon_code", "string").add("dataset_code", "string").add("_feed", "boolean")
 
 
@@ -270,6 +273,14 @@ def _roll_up(trans: DataFrame, breakups: DataFrame, round_no: int, numbers: Sequ
     )
 
 
+def by_class(df: DataFrame, classes: Sequence[Sequence[Rule]], folder: RunFolder) -> DataFrame:
+    """``df`` with its rows' class, written in a folder for each class. A plan that asks for one class then lists
+    and reads that class's files only, and the recons of a class need not be named in it."""
+    numbers = sorted((r, n) for n, own in enumerate(classes, start=1) for r in {rule.recon_code for rule in own})
+    placed = df.join(local_table(df.sparkSession, numbers, CLASS_TABLE), "recon_code", "left")
+    return folder.scratch(placed.select(*df.columns, F.coalesce(CLASS, F.lit(0)).alias(CLASS)), by=CLASS)
+
+
 def run_rules(
     trans: DataFrame,
     rules: Sequence[Rule],
@@ -293,15 +304,18 @@ def run_rules(
     classes = key_classes(rules)
     if len(classes) < 2:
         return _run_class(state, sub, rules, round_no, hot_rows, folder, job_gid, settle, chains)
-    # Several classes read the state; it is written once, and each then writes its own rows only.
-    state = folder.scratch(state)
-    sub = folder.scratch(sub) if sub is not None else None
-    done = [F.col("recon_code").isin(sorted({r.recon_code for r in own})) for own in classes]
-    rest = F.coalesce(~reduce(Column.__or__, done), F.lit(True))
-    trans_parts, sub_parts = [state.filter(rest)], [sub.filter(rest)] if sub is not None else []
-    for own, mine in zip(classes, done, strict=True):
-        below = sub.filter(mine) if sub is not None else None
-        part, below = _run_class(state.filter(mine), below, own, round_no, hot_rows, folder, job_gid, settle, chains)
+    # Each class reads files of its own; recons without rules are in the files of class 0.
+    state = by_class(state, classes, folder)
+    sub = by_class(sub, classes, folder) if sub is not None else None
+
+    def own_rows(df: DataFrame | None, number: int) -> DataFrame | None:
+        return df.filter(F.col(CLASS) == number).drop(CLASS) if df is not None else None
+
+    trans_parts = [own_rows(state, 0)]
+    sub_parts = [own_rows(sub, 0)] if sub is not None else []
+    for number, own in enumerate(classes, start=1):
+        mine, below = own_rows(state, number), own_rows(sub, number)
+        part, below = _run_class(mine, below, own, round_no, hot_rows, folder, job_gid, settle, chains)
         trans_parts.append(part)
         sub_parts += [below] if below is not None else []
     together = reduce(DataFrame.unionByName, trans_parts)

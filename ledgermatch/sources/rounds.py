@@ -36,10 +36,11 @@ class RunFolder:
     def path(self) -> str:
         return f"{shared_folder(self.spark)}/run-{uuid.uuid4().hex}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it back."""
+    def table(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Write ``df``, in a folder for each value of ``by`` if given, and read it back."""
         path = f"{self.path}/{name}"
-        df.write.mode("errorifexists").parquet(path)
+        writer = df.write.mode("errorifexists")
+        (writer.partitionBy(by) if by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def remove(self) -> None:
@@ -48,6 +49,6 @@ class RunFolder:
             place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
             place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
-    def scratch(self, df: DataFrame) -> DataFrame:
+    def scratch(self, df: DataFrame, by: str | None = None) -> DataFrame:
         """As :meth:`table`, under the next free name."""
-        return self.table(df, f"scratch-{next(self._number)}")
+        return self.table(df, f"scratch-{next(self._number)}", by)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import re
+from dataclasses import replace
 
 import pytest
 
@@ -9,7 +10,7 @@ from ledgermatch.operators.scope import scope_by_code
 from ledgermatch.operators.universe import in_window
 from ledgermatch.params import Period
 from ledgermatch.plans.dashboard import dashboard, exception_aging
-from ledgermatch.plans.matching import load_rules, run_rules
+from ledgermatch.plans.matching import key_classes, load_rules, run_rules
 from ledgermatch.plans.values import value_dashboard
 from ledgermatch.sources.fixtures import Fixtures
 from ledgermatch.sources.ledger import Ledger
@@ -64,3 +65,18 @@ def test_counts_and_aging_read_the_universe_once(stored):
     text = plan(exception_aging(ledger, scope_by_code(ledger, PERIOD.as_of_col), PERIOD))
     scans = [line for line in text.splitlines() if "FileScan" in line and "tran_date" in line and "excp_value" in line]
     assert len(scans) == 2, text
+
+
+def test_a_class_reads_its_own_files(stored):
+    ledger, feed = stored
+    rules = load_rules(ledger, PERIOD.as_of_col)
+    rules = [replace(r, keys=("ref_no", "tran_date")) if r.recon_code in ("RC0", "RC1") else r for r in rules]
+    classes = key_classes(rules)
+    assert len(classes) == 2
+    state, _ = run_rules(feed, rules)
+    scans = [line for line in plan(state).splitlines() if "FileScan" in line and "scratch" in line]
+    wanted = [sorted(re.findall(r"\(_class#\d+ = (\d)\)", line)) for line in scans]
+    assert scans and all(len(own) == 1 for own in wanted) and {own[0] for own in wanted} == {"0", "1", "2"}
+    assert not any("recon_code" in filters for line in scans for filters in re.findall(r"PushedFilters: \[(.*?)\]", line))
+    # No row is lost or seen twice, those of recons without rules included.
+    assert state.select("tran_gid").distinct().count() == state.count() == feed.count()
