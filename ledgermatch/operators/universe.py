@@ -19,7 +19,7 @@ from ledgermatch.functions.predicates import (
     net_exception,
 )
 from ledgermatch.params import Period
-from ledgermatch.sources.ledger import Ledger
+from ledgermatch.sources.ledger import KO_MONTH, LINE_MONTH, LINE_RECON, Ledger
 
 UNIVERSE_COLUMNS = (
     "tran_gid",
@@ -184,22 +184,31 @@ def ko_detail(ledger: Ledger, universe: DataFrame, period: Period) -> DataFrame:
 
 def ko_line_fact(ledger: Ledger, scope: DataFrame, period: Period) -> DataFrame:
     """KO lines dated in the period with tran, recon and (if any) rule attributes. A KO's trans are of
-    its recon, so trans of recons outside the scope are not read."""
-    kos = (
-        live(ledger.ko)
-        .filter(in_period(period, "ko_date"))
-        .join(scope, "recon_code")
-        .select(*scope.columns, "ko_gid", "manual_matchoff", "rule_code")
-    )
+    its recon, so trans of recons outside the scope are not read.
+
+    Lines of a ledger that is laid out for it (:meth:`Ledger.write_catalog`) are limited to the period's months
+    by their folders and meet their trans bucket by bucket; their KOs come last. Of other ledgers the KOs
+    come first, as they limit the lines.
+    """
+    months = (period.start.year * 100 + period.start.month, period.end.year * 100 + period.end.month)
+    kos = live(ledger.ko).filter(in_period(period, "ko_date"))
+    if ledger.laid_out:
+        kos = kos.filter(F.col(KO_MONTH).between(*months))
+    kos = kos.join(scope, "recon_code").select(*scope.columns, "ko_gid", "manual_matchoff", "rule_code")
     rules = live(ledger.rule).select(
         "rule_code", "rule_name", "rule_order", "source_dataset_code", "comparison_dataset_code"
     )
-    lines = live(ledger.ko_line).select("kodtl_gid", "ko_gid", "tran_gid", "ko_value", "ko_mult")
+    columns = ("kodtl_gid", "ko_gid", "tran_gid", "ko_value", "ko_mult")
+    lines = live(ledger.ko_line)
     trans = live(ledger.all_trans()).join(scope.select("recon_code"), "recon_code").select("tran_gid", "dataset_code")
+    if ledger.laid_out:
+        lines = lines.filter(F.col(LINE_MONTH).between(*months))
+        lines = lines.join(scope.select(F.col("recon_code").alias(LINE_RECON)), LINE_RECON, "left_semi")
+        placed = lines.select(*columns).join(trans, "tran_gid").join(kos, "ko_gid")
+    else:
+        placed = lines.select(*columns).join(kos, "ko_gid").join(trans, "tran_gid")
     return (
-        lines.join(kos, "ko_gid")
-        .join(trans, "tran_gid")
-        .join(rules, "rule_code", "left")
+        placed.join(rules, "rule_code", "left")
         .select(
             "kodtl_gid",
             *scope.columns,

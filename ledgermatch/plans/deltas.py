@@ -33,7 +33,7 @@ class DeltaLog:
     """Deltas of ``base`` below ``folder``, on storage that all executors share."""
 
     def __init__(self, base: Ledger, folder: str):
-        self.base, self.folder = base, folder
+        self.base, self.folder = base.without_layout(), folder
         self.spark = base.open.sparkSession
 
     def _place(self, name: str):

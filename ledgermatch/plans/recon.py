@@ -51,6 +51,7 @@ def refusals(ledger: Ledger, period: Period, codes: Sequence[str] | None = None)
 def committed(ledger: Ledger, outcome: mt.Stable, ko_date: Column, job_gid: int) -> Ledger:
     """The tables after a run: closed trans move to the matched ones, KOs are added, breakups have what
     is left of them. Rows that the run did not look at stay as they are."""
+    ledger = ledger.without_layout()
     columns = ledger.open.columns
     still, gone = (df.select(*columns) for df in state_split(outcome.trans))
     rest = ledger.open.join(outcome.trans.select("tran_gid"), "tran_gid", "left_anti").select(*columns)

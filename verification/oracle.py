@@ -755,3 +755,5 @@ def in_periods(name: str) -> str:
 
 ORACLE = {name: with_prefix(sql, VIEWS) for name, sql in TEXTS.items()}
 ORACLE |= {"dashboard_rollup": in_periods("dashboard_counts"), "aging_rollup": in_periods("exception_aging")}
+# Another layout, the same rows.
+ORACLE |= {f"{name}_laid_out": ORACLE[name] for name in ("ko_line_fact", "summ_default")}

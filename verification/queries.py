@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from decimal import Decimal
@@ -26,6 +27,7 @@ from ledgermatch.plans import summary as sm
 from ledgermatch.plans import values as vl
 from ledgermatch.plans.deltas import DeltaLog
 from ledgermatch.sources.fixtures import Fixtures
+from ledgermatch.sources.ledger import Ledger
 from ledgermatch.sources.rounds import RunFolder
 
 PERIOD = Period(dt.date(1997, 1, 1), dt.date(1997, 12, 31), dt.date(1998, 1, 1))
@@ -295,6 +297,28 @@ def summ_default(c: Case) -> DataFrame:
     return sm.summary(c.ledger, c.scope, PERIOD, UNIT, "default")["default"]
 
 
+def _laid_out(c: Case) -> Ledger:
+    """The ledger in catalog tables, laid out by recon and month with lines and trans in buckets."""
+    spark, folder = c.fx.spark, RunFolder(c.fx.spark).path
+    database = f"laid_out_{uuid.uuid4().hex}"
+    spark.sql(f"create database {database} location '{folder}/db'")
+    c.ledger.write_catalog(database, int(spark.conf.get("spark.sql.shuffle.partitions")), folder)
+    return Ledger.from_catalog(spark, database)
+
+
+@query
+def ko_line_fact_laid_out(c: Case) -> DataFrame:
+    ledger = _laid_out(c)
+    fact = un.ko_line_fact(ledger, sc.scope_by_code(ledger, c.as_of), PERIOD)
+    return fact.drop("source_dataset_code", "comparison_dataset_code")
+
+
+@query
+def summ_default_laid_out(c: Case) -> DataFrame:
+    ledger = _laid_out(c)
+    return sm.summary(ledger, sc.scope_by_code(ledger, c.as_of), PERIOD, UNIT, "default")["default"]
+
+
 @query
 def summ_proof(c: Case) -> DataFrame:
     return sm.summary(c.ledger, c.scope, PERIOD, UNIT, "proof")["proof"]
