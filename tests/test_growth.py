@@ -3,6 +3,7 @@
 from datetime import date
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgermatch.operators import groups as gr
@@ -68,3 +69,66 @@ def test_feeds_are_derived_once(spark):
     text = plan(views["fx_mtm_feed"])
     assert "Window" not in text and "Join" not in text
     assert views["fx_mtm_feed"] is views["fx_mtm_feed"] and views["fx_mtm_feed"].filter(F.col("tran_date") < date(1990, 1, 1)).count() == 0
+
+
+def test_groups_are_counted_by_key_only_if_a_bucket_of_them_is_large(spark, monkeypatch):
+    """More rows than a large group has, but no group near it: one count, no table of groups."""
+    monkeypatch.setattr(DataFrame, "count", lambda df: pytest.fail("rows are counted with their buckets"))
+    assert gr.bucket_sizes(pairs(spark, 200), ["ref_no"])[0] == 400
+    assert gr.hot_groups(pairs(spark, 200), ["ref_no"], RunFolder(spark), 50) is None
+    (groups, _), = gr.split_by_size(pairs(spark, 200), ["ref_no"], RunFolder(spark), 50)
+    assert groups.rows == 400
+
+
+def written_by(spark, monkeypatch, run):
+    """What ``run`` returns, and the plans of the tables it writes."""
+    seen, table = [], RunFolder.table
+
+    def kept(self, df, name, by=None):
+        seen.append(plan(df))
+        return table(self, df, name, by)
+
+    monkeypatch.setattr(RunFolder, "table", kept)
+    return run(), seen
+
+
+def owned(spark, *parents):
+    """Parents with the given open values, and breakups of 4 and 5 for each."""
+    rows = [(100 + n, "A", "k", value) for n, value in enumerate(parents)]
+    subs = [(10 * n + m, "A", "x", 4 + m) for n in range(len(parents)) for m in (0, 1)]
+    breakups = trans(spark, subs).withColumn("parent_gid", F.floor(F.col("tran_gid") / 10) + 100)
+    return mt.with_state(trans(spark, rows)), mt.with_state(breakups)
+
+
+def test_breakups_stay_where_they_are_if_no_parent_is_short(spark, monkeypatch):
+    parents, breakups = owned(spark, 9, 9)
+    after, seen = written_by(spark, monkeypatch, lambda: mt.settled(breakups, parents, 1_000_000, RunFolder(spark)))
+    assert len(seen) == 1
+    assert sorted(after.select("tran_gid", "excp_value").collect()) == sorted(breakups.select("tran_gid", "excp_value").collect())
+
+
+def test_breakups_of_closed_parents_are_not_put_in_order(spark):
+    parents, breakups = owned(spark, 9, 0, 0)
+    closed = mt.settled(breakups, parents, 1_000_000, RunFolder(spark))
+    assert "Window" not in plan(closed)
+    assert {r.tran_gid: int(r.excp_value) for r in closed.collect()} == {0: 4, 1: 5, 10: 0, 11: 0, 20: 0, 21: 0}
+    parents, breakups = owned(spark, 9, 6, 0)
+    after = mt.settled(breakups, parents, 1_000_000, RunFolder(spark))
+    assert {r.tran_gid: int(r.excp_value) for r in after.collect()} == {0: 4, 1: 5, 10: 4, 11: 2, 20: 0, 21: 0}
+
+
+def test_the_next_round_and_the_rest_come_from_one_join(spark, monkeypatch):
+    state = mt.with_state(pairs(spark, 20))
+    (own, others), seen = written_by(
+        spark, monkeypatch, lambda: mt.frontier(state, state.filter("tran_gid < 4"), [rule()], RunFolder(spark))
+    )
+    assert sum(text.count("SortMergeJoin") for text in seen) == 1
+    assert "Join" not in plan(own) and "Join" not in plan(others)
+    assert (own.count(), others.count()) == (4, 36)
+
+
+def test_passes_of_one_rule_sort_their_rows_once(spark):
+    rows = [(k, "AAB"[k % 3], f"k{k // 6}", 5 + k % 3) for k in range(60)]
+    both = rule(group_flag="MTM", partial=True)
+    state = mt.run_rules(trans(spark, rows), [both])[0]
+    assert plan(state).count(" Sort ") == 1
