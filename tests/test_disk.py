@@ -9,10 +9,12 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from ledgermatch.operators import groups as gr
 from ledgermatch.operators.state import ALLOC_TYPE, ko_lines
 from ledgermatch.plans import matching as mt
 from ledgermatch.sources.rounds import FREE_SHUFFLES, LedgerFolder, RunFolder, shared_folder
 from tests.test_matching import left_over, on_breakups, on_trans, rule, trans
+from tests.test_plans import plan
 from verification.queries import QUERIES
 
 
@@ -84,3 +86,38 @@ def test_committed_runs_leave_their_rows_only(spark):
     # The two feeds, and the rows of three runs.
     assert len(tables_in(home) - before) == 5
     assert {r.variant for r in rows.groupBy("variant").count().collect()} == {"T", "ST", "TS"}
+
+
+def test_rows_of_large_groups_stand_on_the_disk_once(spark, monkeypatch):
+    """A rule with tolerance writes the rows in chunks, and again with their ranks; the first go then."""
+    rows = [(k, "AB"[k % 2], "k", 5 + D(k) / 100, k % 7) for k in range(300)]
+    folder = LedgerFolder(spark)
+    state, _ = mt.run_rules(trans(spark, rows), [rule(tolerance=D("0.01"))], hot_rows=40, folder=folder)
+    # The keys of the large groups, and the rows.
+    assert len(tables_in(folder.path)) == 2
+    assert left_over(state) == left_over(mt.run_rules(trans(spark, rows), [rule(tolerance=D("0.01"))])[0])
+
+
+@pytest.mark.parametrize("shape", [{"group_flag": "OTO"}, {"group_flag": "MTM", "partial": True}])
+def test_rules_one_after_the_other_on_large_groups(spark, shape):
+    """Rows of amounts that are large groups of their own are written apart, and read until all are written again."""
+    rows = [(k, "AB"[k % 2], "k", 5 + (k // 60), k % 7) for k in range(300)] + [(400 + k, "A", f"s{k}", 5) for k in range(5)]
+    rules = [rule(tolerance=D("0.50"), **shape), rule(rule_code="R2", order=D(2), tolerance=D("1.00"), group_flag="OTO")]
+    found = [mt.run_rules(trans(spark, rows), rules, hot_rows=n)[0] for n in (40, 1_000_000)]
+    assert left_over(found[0]) == left_over(found[1]) and ko_lines(found[0]).count() == ko_lines(found[1]).count() > 0
+
+
+def test_only_rows_with_an_amount_left_look_for_neighbours(spark):
+    """Of 200 rows two are left after equal amounts have met: the join with neighbours is about these."""
+    rows = [(k, "AB"[k % 2], "k", 5 + k // 2, k % 7) for k in range(200)] + [(300, "A", "k", D("900.00")), (301, "B", "k", D("900.01"))]
+    columns = {"_left": F.when(F.col("tran_gid") >= 300, (F.col("tran_value") * 100).cast("long")), "_n": F.lit(1).cast("long")}
+    placed = trans(spark, rows).withColumn("side", F.when(F.col("dataset_code") == "A", "S").otherwise("T"))
+    placed = placed.withColumns(columns | {"tolerance": F.lit("0.01").cast("decimal(15,2)"), gr.CHUNK: (F.col("tran_gid") % 3).cast("int")})
+    folder = RunFolder(spark)
+    hot = gr.HotGroups(spark.createDataFrame([("k",)], "ref_no string"), 202)
+    after = gr.ChunkedGroups(["ref_no"], hot, folder).neighbours(placed)
+    sent = [j for j in plan(after).split("\n") if "Filter isnull(_left" in j]
+    assert len(sent) == 1
+    found = {r.tran_gid: (r._lo and r._lo.c, r._hi and r._hi.c) for r in after.collect()}
+    assert len(found) == 202 and found[300] == (None, 90001) and found[301] == (90000, None)
+    assert {v for k, v in found.items() if k < 300} == {(None, None)}
